@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import encode
+from scriptorium.llm import encode, spam
 from scriptorium.session import ready, table
 
 
@@ -15,8 +15,18 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_column(table(ready(spark), sf_dir, "documents"))
 
 
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, mean PMI and spam shares of every document."""
+    return spam.spam_scores(table(ready(spark), sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are spam pages."""
+    return p9_scores(spark, sf_dir).where("is_spam").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids}
+    return {"p7_ids": p7_ids, "p9_found": p9_found, "p9_scores": p9_scores}
 
 
 def oracle_sql() -> dict[str, str]:
