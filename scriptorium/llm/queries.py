@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import encode, spam
+from scriptorium.llm import encode, leak, spam
 from scriptorium.session import ready, table
 
 
@@ -15,6 +15,16 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_column(table(ready(spark), sf_dir, "documents"))
 
 
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and evaluation items that share a rare seed, with the alignment score and the longest equal passage."""
+    return leak.leaks(table(ready(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items of which they hold at least 13 words in a row."""
+    return p8_scores(spark, sf_dir).where(f"run >= {leak.PASSAGE}").select("doc_id", "item_id")
+
+
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, mean PMI and spam shares of every document."""
     return spam.spam_scores(table(ready(spark), sf_dir, "documents"))
@@ -26,7 +36,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids, "p9_found": p9_found, "p9_scores": p9_scores}
+    return {"p7_ids": p7_ids, "p8_found": p8_found, "p8_scores": p8_scores, "p9_found": p9_found, "p9_scores": p9_scores}
 
 
 def oracle_sql() -> dict[str, str]:
