@@ -141,7 +141,8 @@ class Judge:
         doc = np.repeat(np.arange(len(texts)), n)
         pmi = np.where(inside, self.pmi(ids), 0.0)
         sums = np.concatenate([[0.0], np.cumsum(pmi)])
-        pair_sum = sums[np.maximum(starts[1:] - 1, starts[:-1])] - sums[starts[:-1]]
+        first = np.minimum(starts[:-1], len(pmi))
+        pair_sum = sums[np.maximum(np.minimum(starts[1:] - 1, len(pmi)), first)] - sums[first]
         mean = pair_sum / np.maximum(n - 1, 1)
         w = SHORT_SALAD_WORDS
         low = np.zeros(len(ids) + 1, np.int64)
