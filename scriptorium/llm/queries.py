@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import encode, leak, spam
+from scriptorium.llm import encode, leak, spam, turns
 from scriptorium.session import ready, table
 
 
+def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean speaker turns of all recordings."""
+    return turns.speaker_turns(table(ready(spark), sf_dir, "spans"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_turns(spark, sf_dir).select("doc_id", "first_span_id", "last_span_id")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and the ids of its text by byte_bpe_50k; null and empty texts have an empty list."""
     return encode.encode_column(table(ready(spark), sf_dir, "documents"))
@@ -36,7 +45,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids, "p8_found": p8_found, "p8_scores": p8_scores, "p9_found": p9_found, "p9_scores": p9_scores}
+    return {"p5_found": p5_found, "p5_turns": p5_turns, "p7_ids": p7_ids, "p8_found": p8_found, "p8_scores": p8_scores, "p9_found": p9_found, "p9_scores": p9_scores}
 
 
 def oracle_sql() -> dict[str, str]:
