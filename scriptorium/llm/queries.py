@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import encode, leak, spam, turns
+from scriptorium.llm import encode, leak, mojibake, spam, turns
 from scriptorium.session import ready, table
 
 
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled fields of extractions beside what they were, as far as it can be told."""
+    return mojibake.garbled_fields(table(ready(spark), sf_dir, "extractions"), "extraction_id", ["text", "engine"])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_restored(spark, sf_dir).select("extraction_id", "field")
+
+
 def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean speaker turns of all recordings."""
     return turns.speaker_turns(table(ready(spark), sf_dir, "spans"))
@@ -45,7 +54,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_turns": p5_turns, "p7_ids": p7_ids, "p8_found": p8_found, "p8_scores": p8_scores, "p9_found": p9_found, "p9_scores": p9_scores}
+    return {"p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_turns": p5_turns, "p7_ids": p7_ids, "p8_found": p8_found, "p8_scores": p8_scores, "p9_found": p9_found, "p9_scores": p9_scores}
 
 
 def oracle_sql() -> dict[str, str]:
