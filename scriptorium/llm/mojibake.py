@@ -56,10 +56,10 @@ def read_as(data: bytes, wrong: str) -> str:
 SOFT, WEAK, STRONG = 0, 1, 2
 
 
-def _weight(garbled: str, wrong: str) -> int:
+def _weight(garbled: str, wrong: str, char: str) -> int:
     """SOFT: letters that stand together in correct words. WEAK: forms that correct text can hold by chance."""
     if wrong not in ("cp1252", "latin-1", "iso8859-15") or garbled[0] not in "ÃÂâÐÑÎÏàäåæçèéãáÅÄ":
-        if all("А" <= c <= "я" or c in "Ёё" for c in garbled) or all("Ά" <= c <= "ώ" for c in garbled) or len(garbled) == 2 and all(c.isalpha() and c <= "ɏ" for c in garbled):
+        if all("А" <= c <= "я" or c in "Ёё" for c in garbled) or all("Ά" <= c <= "ώ" for c in garbled) or (len(garbled) == 2 or char.isalpha()) and all(c.isalpha() and c <= "ɏ" for c in garbled):
             return SOFT
     if wrong == "cp1251" and len(garbled) == 2 or wrong == "mac_roman" and garbled[0] in "–—":
         return WEAK
@@ -78,7 +78,7 @@ def patterns() -> dict[str, list[tuple[str, str, int]]]:
         for wrong in wrongs:
             for c in chars:
                 g = read_as(c.encode(), wrong)
-                out.setdefault(g, []).append((c, wrong, _weight(g, wrong)))
+                out.setdefault(g, []).append((c, wrong, _weight(g, wrong, c)))
                 if wrong in TWICE and ord(c) < 0x3000:
                     for again in ("cp1252", "latin-1") if wrong in ("cp1252", "latin-1") else (wrong,):
                         out.setdefault(read_as(g.encode("utf-8", "surrogatepass"), again), []).append((c, f"{wrong}, {again}", STRONG))
