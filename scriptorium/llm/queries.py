@@ -5,11 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.llm import encode, leak, mojibake, spam, turns
+from scriptorium.llm import encode, leak, lookalike, mojibake, spam, turns
 from scriptorium.session import ready, table
 
 
+def p2_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token surfaces and verse texts whose characters aren't regular, beside their consistent form."""
+    tokens, verses, translations = (table(ready(spark), sf_dir, t) for t in ("tokens", "verses", "translations"))
+    languages = F.broadcast(translations.groupBy(F.col("id").alias("translation_id")).agg(F.min("language").alias("lang")))  # a few dozen rows
+    c = F.col
+    own = tokens.join(languages, "translation_id", "left").select(F.lit("tokens").alias("tbl"), c("token_id").cast("string").alias("row_key"), "lang", c("surface").alias("text"))
+    whole = verses.join(languages, "translation_id", "left").select(F.lit("verses").alias("tbl"), F.concat_ws(":", c("translation_id").cast("string"), "verse_id").alias("row_key"), "lang", "text")
+    spoken = whole.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}\p{N}]+(?:['\u2019\-][\p{L}\p{M}\p{N}]+)*)"), F.lit(1))).alias("word"))
+    return lookalike.normalized(own.unionByName(whole), own.select("lang", c("text").alias("word")).unionByName(spoken))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_normalized(spark, sf_dir).select("tbl", "row_key")
+
+
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled fields of extractions beside what they were, as far as it can be told."""
     return mojibake.garbled_fields(table(ready(spark), sf_dir, "extractions"), "extraction_id", ["text", "engine"])
@@ -54,7 +70,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_turns": p5_turns, "p7_ids": p7_ids, "p8_found": p8_found, "p8_scores": p8_scores, "p9_found": p9_found, "p9_scores": p9_scores}
+    return {"p2_found": p2_found, "p2_normalized": p2_normalized, "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_turns": p5_turns, "p7_ids": p7_ids, "p8_found": p8_found, "p8_scores": p8_scores, "p9_found": p9_found, "p9_scores": p9_scores}
 
 
 def oracle_sql() -> dict[str, str]:
