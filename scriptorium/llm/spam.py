@@ -36,6 +36,8 @@ STUFFED_OPEN_SHARE = 0.55
 HINT_SHARE = 0.2
 #: Share of a document's words in such units that makes it spam, and the fewest words to judge by.
 SPAM_SHARE, LEAST_WORDS = 0.5, 12
+#: Words of an entry per link, price or tag.
+MARK_WORDS = 12
 #: Word ids kept per worker; then the cache starts anew.
 CACHE = 400_000
 #: Texts that are counted and scored at once.
@@ -133,97 +135,102 @@ class Judge:
         return np.log(seen) + np.log(self.total) - self.logs[a[:-1]] - self.logs[a[1:]]
 
     def scores(self, texts: list[str | None]) -> list[tuple[int, float, float, float]]:
-        """score() of many texts; those without any sign of spam get the shares 0 from the sums over the whole text."""
+        """Words, mean PMI, share of words in spam units, largest share of a unit's words that repeated pairs cover.
+
+        Texts that cannot reach SPAM_SHARE by any sign get the shares 0 from sums over the whole text; the others are
+        looked at unit by unit, all units of all texts at once.
+        """
         ids, starts, inside = _flat(texts)
-        if len(ids) < 2:
-            return [self.score(t) for t in texts]
         n = np.diff(starts)
-        doc = np.repeat(np.arange(len(texts)), n)
+        if len(ids) < 2:
+            return [(int(x), 0.0, 0.0, 0.0) for x in n]
         pmi = np.where(inside, self.pmi(ids), 0.0)
         sums = np.concatenate([[0.0], np.cumsum(pmi)])
         first = np.minimum(starts[:-1], len(pmi))
-        pair_sum = sums[np.maximum(np.minimum(starts[1:] - 1, len(pmi)), first)] - sums[first]
-        mean = pair_sum / np.maximum(n - 1, 1)
+        mean = (sums[np.maximum(np.minimum(starts[1:] - 1, len(pmi)), first)] - sums[first]) / np.maximum(n - 1, 1)
         w = SHORT_SALAD_WORDS
         low = np.zeros(len(ids) + 1, np.int64)
         if len(pmi) >= w:
             low[1 : len(pmi) - w + 2] = (sums[w:] - sums[:-w]) / w < SALAD_PMI
-        key = ids[:-1] << np.uint64(32) | ids[1:]
-        order = np.lexsort((key, doc[:-1]))
-        k, d = key[order], doc[:-1][order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
-        runs = np.diff(np.concatenate([np.flatnonzero(new), [len(k)]]))
         often = np.zeros(len(ids) + 1, np.int64)
-        often[1 + order] = np.repeat(runs, runs) >= STUFFED_TIMES
-        often[1 : len(inside) + 1] *= inside
+        often[1 : len(inside) + 1] = (_times(ids, np.repeat(np.arange(len(texts)), n)) >= STUFFED_TIMES) & inside
         hints = np.zeros(len(texts))
         for sign in (low, often):
             total = np.cumsum(sign)
             hints = np.maximum(hints, (total[starts[1:]] - total[starts[:-1]]) / np.maximum(n, 1))
-        out = []
-        for i, t in enumerate(texts):
-            if t and n[i] >= LEAST_WORDS and (hints[i] >= HINT_SHARE or _linked(t) or _GOODS.search(t)):
-                out.append(self.score(t))
-            else:
-                out.append((int(n[i]), float(mean[i]), 0.0, 0.0))
+        out = [(int(n[i]), float(mean[i]), 0.0, 0.0) for i in range(len(texts))]
+        look = [i for i, t in enumerate(texts) if t and n[i] >= LEAST_WORDS and (hints[i] >= HINT_SHARE or _marks(t) * MARK_WORDS >= n[i] * SPAM_SHARE)]
+        for i, (share, most) in zip(look, self._by_unit([texts[i] for i in look]), strict=True):
+            out[i] = (*out[i][:2], share, most)
         return out
 
     def score(self, text: str | None) -> tuple[int, float, float, float]:
-        """Words, mean PMI, share of words in spam units, largest share of words covered by repeated pairs in a unit."""
-        if not text or text.isspace():
-            return 0, 0.0, 0.0, 0.0
-        units = [u for u in _UNIT.split(text) if u and not u.isspace()]
-        bare, links, marks, ends, ids, cover = [], [], [], [], [], []
-        for u in units:
-            n = len(_LINK.findall(u))
-            w = words_of(u) if n else _WORD.findall(u.lower())
-            bare.append(w)
-            links.append(n)
-            marks.append(len(_GOODS.findall(u)) if ("#" in u or "-" in u or not u.isascii() or "$" in u or "sku" in u.lower()) else 0)
-            ends.append(bool(_END.search(u)))
-        flat = [w for ws in bare for w in ws]
+        return self.scores([text])[0]
+
+    def _by_unit(self, texts: list[str]) -> list[tuple[float, float]]:
+        """Share of words in spam units, and the largest share of a unit that repeated pairs cover, of each text."""
+        flat: list[str] = []
+        sizes, doc, links, goods, ends = [], [], [], [], []
+        for i, t in enumerate(texts):
+            linked = _linked(t)
+            priced = any(c in t for c in "#£$€¥₹%") or "sku" in t.lower()
+            for u in _UNIT.split(t):
+                if not u:
+                    continue
+                k = len(_LINK.findall(u)) if linked else 0
+                ws = words_of(u) if k else _WORD.findall(u.lower())
+                if ws:
+                    flat += ws
+                    sizes.append(len(ws))
+                    doc.append(i)
+                    links.append(k)
+                    goods.append(len(_GOODS.findall(u)) if priced else 0)
+                    ends.append(_END.search(u) is not None)
         if len(flat) < 2:
-            return len(flat), 0.0, 0.0, 0.0
-        all_ids = _word_ids(flat)
-        pmi = self.pmi(all_ids)
-        times = _times(all_ids)
-        spam, at, most = 0, 0, 0.0
-        for ws, n_links, n_marks, ended in zip(bare, links, marks, ends, strict=True):
-            n = len(ws)
-            if not n:
-                continue
-            own, inside = all_ids[at : at + n], pmi[at : at + n - 1]
-            coherent = float(inside.mean()) if n > 1 else 0.0
-            covered = _covered(_times(own) >= STUFFED_TIMES) / n if n >= 6 else 0.0
-            again = _covered(times[at : at + n - 1] >= 2) / n if n > 1 else 0.0
-            most = max(most, covered)
-            bad = n >= SALAD_WORDS and coherent < SALAD_PMI or n >= SHORT_SALAD_WORDS and coherent < SHORT_SALAD_PMI
-            bad |= n >= 8 and covered >= (STUFFED_SHARE if ended else STUFFED_OPEN_SHARE)
-            bad |= not ended and n_links > 0 and n <= 12 * n_links
-            bad |= not ended and n_marks > 0 and n <= 10 * n_marks
-            bad |= not ended and again >= 0.99 and n <= 12 and _covered(times[at : at + n - 1] >= 4) / n >= 0.6 and n > 1
-            spam += n * bad
-            at += n
-        return len(flat), float(pmi.mean()), spam / len(flat), most
-
-
-def _times(ids: np.ndarray) -> np.ndarray:
-    """How often each neighbouring pair occurs among these."""
-    if len(ids) < 2:
-        return np.zeros(0, np.int64)
+            return [(0.0, 0.0)] * len(texts)
+        size, of, links, goods, ended = np.array(sizes), np.array(doc), np.array(links), np.array(goods), np.array(ends)
+        ids = _word_ids(flat)
+        unit = np.repeat(np.arange(len(size)), size)
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        inside = unit[1:] == unit[:-1]
+        pmi = np.append(np.where(inside, self.pmi(ids), 0.0), 0.0)
+        coherent = np.add.reduceat(pmi, start) / np.maximum(size - 1, 1)
+        within, across = _times(ids, unit), _times(ids, of[unit])
+
+        def covered(pairs: np.ndarray) -> np.ndarray:
+            words = np.zeros(len(ids), np.int64)
+            words[:-1] |= pairs & inside
+            words[1:] |= pairs & inside
+            return np.add.reduceat(words, start) / size
+
+        stuffed = np.where(size >= 6, covered(within >= STUFFED_TIMES), 0.0)
+        bad = (size >= SALAD_WORDS) & (coherent < SALAD_PMI) | (size >= SHORT_SALAD_WORDS) & (coherent < SHORT_SALAD_PMI)
+        bad |= (size >= 8) & (stuffed >= np.where(ended, STUFFED_SHARE, STUFFED_OPEN_SHARE))
+        bad |= ~ended & (links > 0) & (size <= MARK_WORDS * links)
+        bad |= ~ended & (goods > 0) & (size <= MARK_WORDS * goods)
+        bad |= ~ended & (size > 1) & (size <= MARK_WORDS) & (covered(across >= 2) >= 0.99) & (covered(across >= 4) >= 0.6)
+        spam = np.bincount(of, size * bad, len(texts)) / np.maximum(np.bincount(of, size, len(texts)), 1)
+        most = np.zeros(len(texts))
+        np.maximum.at(most, of, stuffed)
+        return list(zip(spam.tolist(), most.tolist(), strict=True))
+
+
+def _marks(text: str) -> int:
+    """Links, prices and tags, at most: a text with too few of them isn't a list of entries."""
+    return text.count("://") + text.count("www.") + text.count("<a") + sum(text.count(c) for c in "#£$€¥₹%") + text.lower().count("sku")
+
+
+def _times(ids: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """How often each neighbouring pair occurs in the group of its first word."""
     key = ids[:-1] << np.uint64(32) | ids[1:]
-    _, back, n = np.unique(key, return_inverse=True, return_counts=True)
-    return n[back]
-
-
-def _covered(pairs: np.ndarray) -> int:
-    """Words that at least one of the marked pairs holds."""
-    if not len(pairs):
-        return 0
-    words = np.zeros(len(pairs) + 1, bool)
-    words[:-1] |= pairs
-    words[1:] |= pairs
-    return int(words.sum())
+    g = group[:-1]
+    order = np.lexsort((key, g))
+    k, h = key[order], g[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
+    runs = np.diff(np.append(np.flatnonzero(new), len(k)))
+    out = np.empty(len(k), np.int64)
+    out[order] = np.repeat(runs, runs)
+    return out
 
 
 def spam_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
