@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import encode, leak, lookalike, mojibake, spam, turns
+from scriptorium.llm import encode, leak, lookalike, mojibake, pii, spam, turns
 from scriptorium.session import ready, table
 
 
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields with personal data: the kinds they hold and their text with placeholders."""
+    notes, documents, extractions = (table(ready(spark), sf_dir, t) for t in ("notes", "documents", "extractions"))
+    c = F.col
+    rows = notes.select(F.lit("notes").alias("tbl"), c("note_id").alias("row_id"), c("body").alias("text"))
+    rows = rows.unionByName(documents.select(F.lit("documents").alias("tbl"), c("doc_id").alias("row_id"), c("speaker").alias("text")))
+    rows = rows.unionByName(extractions.select(F.lit("extractions").alias("tbl"), c("extraction_id").alias("row_id"), "text"))
+    return pii.personal_fields(rows, pii.lexicon_of(documents, "speaker"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_redacted(spark, sf_dir).select("tbl", "row_id", F.explode("kinds").alias("kind"))
+
+
 def p2_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token surfaces and verse texts whose characters aren't regular, beside their consistent form."""
     tokens, verses, translations = (table(ready(spark), sf_dir, t) for t in ("tokens", "verses", "translations"))
@@ -70,7 +84,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_normalized": p2_normalized, "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_turns": p5_turns, "p7_ids": p7_ids, "p8_found": p8_found, "p8_scores": p8_scores, "p9_found": p9_found, "p9_scores": p9_scores}
+    return {
+        "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_normalized": p2_normalized, "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_turns": p5_turns,
+        "p7_ids": p7_ids, "p8_found": p8_found, "p8_scores": p8_scores, "p9_found": p9_found, "p9_scores": p9_scores,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
