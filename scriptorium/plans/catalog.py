@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.plans import data_queries
+from scriptorium.plans import data_queries, study_queries
 
-_PARTS = (data_queries,)
+_PARTS = (study_queries, data_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
