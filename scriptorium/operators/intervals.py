@@ -102,10 +102,10 @@ def periods_and_gaps(rows: DataFrame, keys: list[str], start_ms: Column, end_ms:
     period. Repeated rows, ties and nesting are no matter; an empty input gives no rows. Keys may be of any type.
     """
     entity = F.to_json(F.struct(*[F.col(k) for k in keys]))
-    src = rows.select(*keys, start_ms.cast("long").alias("s"), end_ms.cast("long").alias("t"))
+    some = rows
     for k in keys:
-        src = src.where(F.col(k).isNotNull())
-    src = src.where("s IS NOT NULL AND t > s").select(entity.alias("e"), F.floor(F.col("s") / bucket_ms).cast("long").alias("b"), "s", "t")
+        some = some.where(F.col(k).isNotNull())
+    src = some.select(entity.alias("e"), start_ms.cast("long").alias("s"), end_ms.cast("long").alias("t")).where("s IS NOT NULL AND t > s").withColumn("b", F.floor(F.col("s") / bucket_ms).cast("long")).select("e", "b", "s", "t")
     lists = "e string, b long, s array<long>, t array<long>"
     leaves = src.mapInPandas(_partial, lists).repartition("e", "b").sortWithinPartitions("e", "b").mapInPandas(_merge, lists)
     leaves = leaves.checkpoint()  # read for the summaries and again for the lists
