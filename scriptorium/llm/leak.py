@@ -130,7 +130,7 @@ def _neighbourhoods(docs: DataFrame, key: str, text: str, items) -> DataFrame:
                     if not t:
                         continue
                     ids = np.fromiter((get(w, 0) for w in passage_words(t)), np.int32)
-                    if len(ids) < SEED:
+                    if len(ids) < SEED or not len(grams):
                         continue
                     known = np.concatenate([[0], np.cumsum(ids > 0)])
                     full = np.flatnonzero(known[SEED:] - known[:-SEED] == SEED)
@@ -148,8 +148,8 @@ def _neighbourhoods(docs: DataFrame, key: str, text: str, items) -> DataFrame:
                 if out:
                     yield pd.DataFrame(out, columns=["k", "ids", "grams"])
 
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return rows.mapInPandas(run, f"k {rows.schema['k'].dataType.simpleString()}, ids array<int>, grams array<int>")
+    rows = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))  # as strings, large ids survive beside nulls
+    return rows.mapInPandas(run, "k string, ids array<int>, grams array<int>")
 
 
 def _block(docs: DataFrame, block: list[tuple[int, str]], key: str, text: str) -> DataFrame:
@@ -173,8 +173,7 @@ def _block(docs: DataFrame, block: list[tuple[int, str]], key: str, text: str) -
                     out.append((k, item, *smith_waterman(np.asarray(ids), own.ids[item])))
             yield pd.DataFrame(out, columns=["k", "item_id", "score", "run"])
 
-    kind = near.schema["k"].dataType.simpleString()
-    return near.mapInPandas(align, f"k {kind}, item_id long, score int, run int")
+    return near.mapInPandas(align, "k string, item_id long, score int, run int")
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -198,4 +197,4 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
             out, block, held = add(_block(docs, block, key, text)), [], 0
     if block or out is None:
         out = add(_block(docs, block, key, text))
-    return out.groupBy(F.col("k").alias(key), "item_id").agg(F.max("score").alias("score"), F.max("run").alias("run"))
+    return out.groupBy(F.col("k").cast(docs.schema[key].dataType).alias(key), "item_id").agg(F.max("score").alias("score"), F.max("run").alias("run"))

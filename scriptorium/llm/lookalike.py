@@ -32,6 +32,9 @@ LOOKALIKES = {
 ROUGH = set("αικтτмкпгцυωγ")
 #: Script of the languages.
 SCRIPTS = {"en": "LATIN", "de": "LATIN", "fr": "LATIN", "es": "LATIN", "pt": "LATIN", "it": "LATIN", "nl": "LATIN", "la": "LATIN", "ru": "CYRILLIC", "uk": "CYRILLIC", "bg": "CYRILLIC", "el": "GREEK", "hi": "DEVANAGARI", "he": "HEBREW", "ar": "ARABIC", "zh": "CJK", "ja": "CJK"}
+#: Codes for texts of an unknown language in a known script (private use); each has a vocabulary of its own.
+UNKNOWN = {"LATIN": "qa", "CYRILLIC": "qb", "GREEK": "qc", "DEVANAGARI": "qd"}
+SCRIPTS |= {code: name for name, code in UNKNOWN.items()}
 #: Signs that look like a regular one.
 SIGNS = {"‑": "-", "ʼ": "’", "ʹ": "’", "‛": "’", ";": ";", "ˈ": "'", "－": "-"}
 
@@ -150,6 +153,17 @@ def signature(word: str) -> str:
     return "".join(PROTOTYPE.get(c, c) for c in unicodedata.normalize("NFD", t))
 
 
+def guessed_languages(words: DataFrame, group: str, column: str) -> DataFrame:
+    """group, lang: the code of the script that most words of a group are in, for groups without a language."""
+    letter = {"LATIN": "[A-Za-z\u00c0-\u024f]", "CYRILLIC": "[\u0400-\u04ff]", "GREEK": "[\u0370-\u03ff\u1f00-\u1fff]", "DEVANAGARI": "[\u0900-\u097f]"}
+    counts = words.groupBy(group).agg(*[F.count_if(F.col(column).rlike(rx)).alias(name) for name, rx in letter.items()])
+    most = F.greatest(*letter)
+    lang = F.lit(None).cast("string")
+    for name in reversed(letter):
+        lang = F.when(F.col(name) == most, UNKNOWN[name]).otherwise(lang)
+    return counts.select(group, F.when(most > 0, lang).alias("lang"))
+
+
 class Trie:
     """Vocabulary of decomposed words; each end holds the most frequent spelling."""
 

@@ -274,8 +274,7 @@ def garbled_fields(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     Null and empty texts have none. Texts of any length are searched whole in linear time; repeated rows count once; only
     the affected rows are shuffled. `lost` counts the places of which the original is gone.
     """
-    src = rows.select(F.col(key).alias("k"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)])
-    kind = src.schema["k"].dataType.simpleString()
+    src = rows.select(F.col(key).cast("string").alias("k"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -288,5 +287,5 @@ def garbled_fields(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=["k", "field", "garbled", "restored", "places", "lost"])
 
-    found = src.mapInPandas(run, f"k {kind}, field string, garbled string, restored string, places int, lost int")
-    return found.dropDuplicates(["k", "field"]).withColumnRenamed("k", key)
+    found = src.mapInPandas(run, "k string, field string, garbled string, restored string, places int, lost int")
+    return found.dropDuplicates(["k", "field"]).select(F.col("k").cast(rows.schema[key].dataType).alias(key), "field", "garbled", "restored", "places", "lost")

@@ -249,7 +249,7 @@ def spam_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             out.insert(0, "k", batch["k"].to_numpy())
             yield out
 
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    kind = rows.schema["k"].dataType.simpleString()
-    out = rows.mapInPandas(run, f"k {kind}, words long, mean_pmi double, spam_share double, stuffed_share double")
-    return out.withColumn("is_spam", (F.col("spam_share") > SPAM_SHARE) & (F.col("words") >= LEAST_WORDS)).withColumnRenamed("k", key)
+    rows = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))  # as strings, large ids survive beside nulls
+    out = rows.mapInPandas(run, "k string, words long, mean_pmi double, spam_share double, stuffed_share double")
+    spam = (F.col("spam_share") > SPAM_SHARE) & (F.col("words") >= LEAST_WORDS)
+    return out.select(F.col("k").cast(docs.schema[key].dataType).alias(key), "words", "mean_pmi", "spam_share", "stuffed_share", spam.alias("is_spam"))
