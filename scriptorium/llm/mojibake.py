@@ -149,7 +149,12 @@ def _one_byte_words(text: str) -> list[tuple[int, int, str]]:
     if out:
         best = max(votes, key=lambda r: (votes[r], -ONE_BYTE.index(r)))
         spans = [(a, b, fits.get(best) or next(iter(fits.values()))) for a, b, _, fits in out]
-        spans += [(a, b, back) for a, b, w in short if (back := _turn_back(w, "cp1252", best))]
+        edges = {a for a, _, _ in spans} | {b for _, b, _ in spans}
+        for a, b, w in short:  # short words only beside longer ones
+            near = any(x in edges for x in (b + 1, b + 2, a - 1, a - 2))
+            if near and (back := _turn_back(w, "cp1252", best)):
+                spans.append((a, b, back))
+                edges |= {a, b}
     if any("А" <= c <= "Я" for c in text):
         mixed, letters, gain = [], 0, 0.0
         for m in _CYRILLIC_WORD.finditer(text):
@@ -221,13 +226,21 @@ def garbled_spans(text: str | None) -> list[tuple[int, int, str, bool]]:
             if sure.get(wrong, 0) >= 3 and not "Ͱ" <= text[x] <= "ӿ":
                 out.append((x, y, char, True))
     taken = [(a, b) for a, b, _, _ in out]
-    extra = [(a, b, back, True) for a, b, back in _one_byte_words(text)]
+    parts, at = [], 0
+    for a, b in sorted(taken):  # what is explained already says nothing about other encodings
+        parts += [text[at:a], " " * (b - a)]
+        at = b
+    rest = "".join(parts) + text[at:]
+    extra = [(a, b, back, True) for a, b, back in _one_byte_words(rest)]
     for a, b in words:
         extra.append((a, b, _mixed_word(text[a:b]), True))
+    covered = bytearray(len(text))
+    for a, b in taken:
+        covered[a:b] = b"\x01" * (b - a)
     for a, b, back, ok in extra:
-        if not any(x < b and a < y for x, y in taken):
+        if not any(covered[a:b]):
             out.append((a, b, back, ok))
-            taken.append((a, b))
+            covered[a:b] = b"\x01" * (b - a)
     return sorted(out)
 
 
