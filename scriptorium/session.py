@@ -31,6 +31,20 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, if they come in fewer partitions (a small table in one file); else unchanged.
+
+    For narrow passes that compute much per row. Large tables have more partitions than cores and aren't shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Partitions for shuffles before Python stages: given as a number, they are not coalesced by size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     """A local session with the defaults that the tests and the benchmark use."""
     return (
