@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.session import spread
+
 #: White space as Unicode's White_Space property has it (str.isspace() has four more).
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces kept per worker; then the cache starts anew.
@@ -169,7 +171,7 @@ def encode_column(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
     text are ordinary text.
     """
     path = vocabulary or default_vocabulary()
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)

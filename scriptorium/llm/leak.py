@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.session import ready
+from scriptorium.session import ready, spread
 
 #: Words of a seed, words of a passage that counts as leaked.
 SEED, PASSAGE = 5, 13
@@ -148,7 +148,7 @@ def _neighbourhoods(docs: DataFrame, key: str, text: str, items) -> DataFrame:
                 if out:
                     yield pd.DataFrame(out, columns=["k", "ids", "grams"])
 
-    rows = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))  # as strings, large ids survive beside nulls
+    rows = spread(docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")))  # as strings, large ids survive beside nulls
     return rows.mapInPandas(run, "k string, ids array<int>, grams array<int>")
 
 

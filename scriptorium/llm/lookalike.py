@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.session import ready
+from scriptorium.session import ready, shuffle_partitions
 
 #: Highest cost of a canonical spelling: 0 allows look-alikes, ignorables and composition only.
 MAX_COST = 0.0
@@ -276,7 +276,7 @@ def normalized(rows: DataFrame, words: DataFrame) -> DataFrame:
     never change; plain ASCII is regular in every language. An unknown language is judged by the text's own script.
     Repeated rows count once. Texts are taken whole.
     """
-    ready(rows.sparkSession)
+    parts = shuffle_partitions(ready(rows.sparkSession))
     c = F.col
     src = rows.where(c("text").rlike(_NON_ASCII)).select("tbl", "row_key", F.coalesce("lang", F.lit("")).alias("lang"), "text")
     scanned = src.mapInPandas(_scan, "tbl string, row_key string, lang string, text string, home string, words array<string>").dropDuplicates(["tbl", "row_key"]).checkpoint()
@@ -286,7 +286,7 @@ def normalized(rows: DataFrame, words: DataFrame) -> DataFrame:
     vocabulary = counts.withColumn("home", home).mapInPandas(_vocabulary_words, "lang string, word string, n long, home string, key string")
     wanted = scanned.select("home", "lang", F.explode("words").alias("word")).distinct()
     asked = wanted.mapInPandas(lambda it: (b.assign(n=-1, key=[signature(w)[:2] for w in b["word"]]) for b in it), "home string, lang string, word string, n long, key string")
-    both = vocabulary.unionByName(asked).repartition("home", "lang", "key").sortWithinPartitions("home", "lang", "key", c("n").desc())
+    both = vocabulary.unionByName(asked).repartition(parts, "home", "lang", "key").sortWithinPartitions("home", "lang", "key", c("n").desc())
     spelled = both.mapInPandas(_walk, "home string, lang string, word string, canonical string")
     pairs = scanned.select("tbl", "row_key", "home", "lang", F.explode("words").alias("word")).join(spelled, ["home", "lang", "word"]).groupBy("tbl", "row_key").agg(F.collect_list(F.struct("word", "canonical")).alias("spelled"))
 

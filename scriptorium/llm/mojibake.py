@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.session import spread
+
 #: Encodings that UTF-8 is taken for, and those that it is taken for twice.
 WRONG = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "mac_roman", "koi8-r", "cp866", "iso8859-15")
 TWICE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251")
@@ -287,7 +289,7 @@ def garbled_fields(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     Null and empty texts have none. Texts of any length are searched whole in linear time; repeated rows count once; only
     the affected rows are shuffled. `lost` counts the places of which the original is gone.
     """
-    src = rows.select(F.col(key).cast("string").alias("k"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)])
+    src = spread(rows.select(F.col(key).cast("string").alias("k"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.session import spread
+
 #: Bits of the count tables. They bound what is broadcast (4 MB and 16 MB), whatever the corpus.
 WORD_BITS, PAIR_BITS = 19, 21
 #: Mean PMI in nats below which a unit of at least SALAD_WORDS words is salad; prose of any language lies above 2.
@@ -111,7 +113,7 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.n
             if len(at):
                 yield pd.DataFrame({"slot": at * 2 + table, "n": counts[at]})
 
-    parts = docs.select(F.col(text).alias("t")).mapInPandas(run, "slot long, n long")
+    parts = spread(docs.select(F.col(text).alias("t"))).mapInPandas(run, "slot long, n long")
     rows = parts.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     words, pairs = np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << PAIR_BITS, np.int64)
     slot, n = rows["slot"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
@@ -249,7 +251,7 @@ def spam_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             out.insert(0, "k", batch["k"].to_numpy())
             yield out
 
-    rows = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))  # as strings, large ids survive beside nulls
+    rows = spread(docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")))  # as strings, large ids survive beside nulls
     out = rows.mapInPandas(run, "k string, words long, mean_pmi double, spam_share double, stuffed_share double")
     spam = (F.col("spam_share") > SPAM_SHARE) & (F.col("words") >= LEAST_WORDS)
     return out.select(F.col("k").cast(docs.schema[key].dataType).alias(key), "words", "mean_pmi", "spam_share", "stuffed_share", spam.alias("is_spam"))
