@@ -11,6 +11,7 @@ from scriptorium.functions import text as T
 from scriptorium.operators import annotations as A
 from scriptorium.operators import corpus as C
 from scriptorium.operators import extraction as X
+from scriptorium.operators import jobs as J
 from scriptorium.operators import references as R
 from scriptorium.operators import tables as M
 from scriptorium.plans.study import ACTIVE, Study, sql
@@ -1046,3 +1047,73 @@ def ing_stored_path(s):
 @query("SELECT j.job_id, d.filename, d.format, j.attempts FROM j JOIN d USING (doc_id) WHERE j.state = 'UPLOADED'", "j", "d")
 def ing_next_job(s):
     return s.jobs.where("state = 'UPLOADED'").join(s.documents.select("doc_id", "filename", "format"), "doc_id").select("job_id", "filename", "format", "attempts")
+
+
+@query("SELECT job_id, state IN ('UPLOADED', 'EXTRACTING', 'NEEDS_REVIEW', 'VERIFIED', 'DONE', 'ERROR') AS valid FROM j", "j")
+def ing_current_state(s):
+    return s.jobs.select("job_id", c("state").isin("UPLOADED", "EXTRACTING", "NEEDS_REVIEW", "VERIFIED", "DONE", "ERROR").alias("valid"))
+
+
+_AS_OF = "(SELECT max(claimed_at) FROM jobs)"
+_STALE = f"(state = 'EXTRACTING' AND claimed_at <= {_AS_OF} - INTERVAL 120 SECOND)"
+_RECLAIMED = f"""SELECT job_id, CASE WHEN {_STALE} AND attempts >= 3 THEN 'ERROR' WHEN {_STALE} THEN 'UPLOADED' ELSE state END AS state,
+  CASE WHEN {_STALE} AND attempts >= 3 THEN 'gave up after ' || attempts || ' interrupted attempts' WHEN {_STALE} THEN NULL ELSE last_error END AS last_error, CASE WHEN {_STALE} THEN NULL ELSE claimed_by END AS claimed_by, attempts, created_at,
+  CASE WHEN {_STALE} THEN NULL ELSE claimed_at END AS claimed_at FROM j"""
+
+
+def _as_of(s):
+    return s.table("jobs").agg(F.max("claimed_at")).first()[0]
+
+
+@query(f"SELECT job_id, state, last_error, claimed_by FROM ({_RECLAIMED})", "j")
+def mut_reclaim_stale(s):
+    return J.reclaim_stale(s.jobs, _as_of(s)).select("job_id", "state", "last_error", "claimed_by")
+
+
+def _claimed(source: str) -> str:
+    return f"WITH q AS ({source}), f AS (SELECT job_id FROM q WHERE state = 'UPLOADED' AND claimed_at IS NULL ORDER BY created_at, job_id LIMIT 10) SELECT q.job_id, CASE WHEN f.job_id IS NULL THEN q.state ELSE 'EXTRACTING' END AS state, CASE WHEN f.job_id IS NULL THEN q.claimed_by ELSE 'w' END AS claimed_by, q.attempts + CASE WHEN f.job_id IS NULL THEN 0 ELSE 1 END AS attempts FROM q LEFT JOIN f USING (job_id)"
+
+
+@query(_claimed("SELECT * FROM j"), "j")
+def mut_claim(s):
+    """The ten oldest waiting jobs leased at once."""
+    return J.claim(s.jobs, "w", _as_of(s), 10).select("job_id", "state", "claimed_by", "attempts")
+
+
+@query(_claimed(_RECLAIMED), "j")
+def mut_tick(s):
+    return J.tick(s.jobs, "w", _as_of(s)).select("job_id", "state", "claimed_by", "attempts")
+
+
+@query("SELECT job_id, CASE WHEN state IN ('ERROR', 'NEEDS_REVIEW') THEN 'UPLOADED' ELSE state END AS state, CASE WHEN state IN ('ERROR', 'NEEDS_REVIEW') THEN NULL ELSE last_error END AS last_error, attempts FROM j", "j")
+def mut_retry(s):
+    return J.retry(s.jobs, s.jobs).select("job_id", "state", "last_error", "attempts")
+
+
+@query("SELECT job_id, CASE WHEN note_id IS NULL THEN state ELSE 'DONE' END AS state FROM j", "j")
+def ing_set_state(s):
+    return J.set_fields(s.jobs, s.jobs.where("note_id IS NOT NULL"), state="DONE").select("job_id", "state")
+
+
+@query("SELECT * FROM (VALUES ('worker_engines', '[]'), ('worker_heartbeat', '2024-01-01 00:00:05')) AS q(key, value)")
+def op_heartbeat(s):
+    old = s.spark.createDataFrame([("worker_heartbeat", "2024-01-01 00:00:03")], "key string, value string")
+    return M.upsert(old, s.spark.createDataFrame([("worker_heartbeat", "2024-01-01 00:00:05"), ("worker_engines", "[]")], "key string, value string"), ["key"])
+
+
+@query("SELECT '2024-01-01 00:00:05' AS heartbeat, CAST(0 AS BIGINT) AS engines")
+def op_worker_status(s):
+    """The settings of a worker as one row; whether its process lives is not a matter of data."""
+    one = op_heartbeat(s).groupBy().agg(F.max(F.when(c("key") == "worker_heartbeat", c("value"))).alias("heartbeat"), F.max(F.when(c("key") == "worker_engines", c("value"))).alias("e"))
+    return one.select("heartbeat", F.size(F.from_json("e", "array<string>")).cast("long").alias("engines"))
+
+
+@query("SELECT translation_id, verse_id, coalesce(list(surface ORDER BY idx, surface, char_start), []) AS words FROM tok GROUP BY translation_id, verse_id", "tok")
+def arr_tokens(s):
+    own = s.tokens.groupBy("translation_id", "verse_id").agg(F.sort_array(F.collect_list(F.struct("idx", "surface", "char_start"))).alias("t"))
+    return own.select("translation_id", "verse_id", F.transform("t", lambda x: x["surface"]).alias("words"))
+
+
+@query("SELECT DISTINCT book_osis || '.' || chapter AS position FROM verses")
+def str_format_position(s):
+    return s.verses.select(F.concat_ws(".", "book_osis", c("chapter").cast("string")).alias("position")).distinct()
