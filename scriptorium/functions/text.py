@@ -12,6 +12,8 @@ ALIASES = {
     "ps": "Ps", "psalm": "Ps", "psalms": "Ps", "song": "Song", "songs": "Song", "sos": "Song", "canticles": "Song", "eccl": "Eccl", "ecc": "Eccl",
     "phil": "Phil", "philemon": "Phlm", "phlm": "Phlm", "rev": "Rev", "revelations": "Rev", "acts": "Acts", "jas": "Jas", "james": "Jas",
 }
+#: Ordinals before a book name.
+ORDINALS = ((r"^(1st|first)\s+", "1 "), (r"^(2nd|second)\s+", "2 "), (r"^(3rd|third)\s+", "3 "), (r"^i\s+", "1 "), (r"^ii\s+", "2 "), (r"^iii\s+", "3 "))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -124,6 +126,6 @@ def anchor_key(kind: Column, verse: Column, token: Column) -> Column:
 def normalize_reference(c: Column) -> Column:
     """A typed book name: ordinals as digits, lower case, without dots, apostrophes and spaces."""
     t = F.lower(strip_space(c))
-    for pattern, digit in ((r"^(1st|first)\s+", "1 "), (r"^(2nd|second)\s+", "2 "), (r"^(3rd|third)\s+", "3 "), (r"^i\s+", "1 "), (r"^ii\s+", "2 "), (r"^iii\s+", "3 ")):
+    for pattern, digit in ORDINALS:
         t = F.regexp_replace(t, pattern, digit)
     return F.regexp_replace(F.regexp_replace(t, "[.’']", ""), r"(?U)\s+", "")

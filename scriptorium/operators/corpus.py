@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.tables import number_rows
+
 
 def unique_verses(verses: DataFrame) -> DataFrame:
     """Verses, each (translation_id, verse_id) once."""
@@ -36,12 +38,7 @@ def canonical_order(verses: DataFrame, books: DataFrame) -> DataFrame:
     Numbered per book and chapter, plus an offset summed over chapters: no task sorts a whole translation.
     """
     v = verses.join(F.broadcast(books.select(F.col("osis").alias("book_osis"), F.col("canonical_order").alias("book_order"))), "book_osis")
-    own = F.row_number().over(Window.partitionBy("translation_id", "book_order", "chapter").orderBy("verse", "verse_id"))
-    sizes = v.groupBy("translation_id", "book_order", "chapter").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("translation_id").orderBy("book_order", "chapter").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("translation_id", "book_order", "chapter", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    numbered = v.withColumn("own", own).join(offsets, ["translation_id", "book_order", "chapter"])
-    return numbered.withColumn("running", F.col("offset") + F.col("own")).drop("offset", "own", "book_order")
+    return number_rows(v, ["translation_id"], ["book_order", "chapter"], ["verse", "verse_id"], "running").drop("book_order")
 
 
 def chapters_of(books: DataFrame) -> DataFrame:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.tables import number_rows
+
 #: Lines closer than this share of the page are one line; lines per batch of second readings; doubt below.
 LINE, BATCH, DOUBTFUL = 0.02, 8, 0.75
+#: Seconds of a time bucket in which segments meet turns.
+BUCKET_S = 60.0
 
 
 def reading_order(spans: DataFrame) -> DataFrame:
@@ -17,8 +21,8 @@ def reading_order(spans: DataFrame) -> DataFrame:
 
 def renumber(spans: DataFrame) -> DataFrame:
     """Spans of a document numbered from 0 across its pages."""
-    w = Window.partitionBy("doc_id").orderBy("page_no", "idx", "span_id")
-    return spans.withColumn("position", (F.row_number().over(w) - 1).cast("long"))
+    numbered = number_rows(spans, ["doc_id"], ["page_no"], ["idx", "span_id"], "__number")
+    return numbered.withColumn("position", (F.col("__number") - 1).cast("long")).drop("__number")
 
 
 def batches(spans: DataFrame) -> DataFrame:
@@ -60,14 +64,17 @@ def rebuilt_text(spans: DataFrame) -> DataFrame:
 def label_speakers(segments: DataFrame, turns: DataFrame, keys: list[str], segment_key: str) -> DataFrame:
     """Each segment with the speaker of the turn that covers its middle and overlaps it most; the first of equals.
 
-    segments: keys, segment_key, start_s, end_s. turns: keys, turn_no, turn_start, turn_end, turn_speaker. An equi-join on
-    the keys with a range condition; segments without a fitting turn keep a null.
+    segments: keys, segment_key, start_s, end_s. turns: keys, turn_no, turn_start, turn_end, turn_speaker. Segments without
+    a fitting turn keep a null. A segment meets only turns that reach into the time bucket of its middle: an equi-join on
+    keys and bucket, so a long recording is spread and its segments don't meet all its turns.
     """
     s, e = F.col("start_s"), F.col("end_s")
     end = F.when(e.isNull() | (e == 0), s).otherwise(e)
     middle = (s + end) / 2
     overlap = F.least("turn_end", F.when(e.isNull() | (e == 0), middle).otherwise(e)) - F.greatest("turn_start", s)
-    fits = segments.join(turns, keys).where((F.col("turn_start") <= middle) & (middle <= F.col("turn_end"))).withColumn("overlap", overlap).where("overlap > 0")
+    first, last = F.floor(F.col("turn_start") / BUCKET_S), F.floor(F.col("turn_end") / BUCKET_S)
+    spread = turns.where("turn_start <= turn_end").withColumn("__bucket", F.explode(F.sequence(first, last)))
+    fits = segments.withColumn("__bucket", F.floor(middle / BUCKET_S)).join(spread, [*keys, "__bucket"]).where((F.col("turn_start") <= middle) & (middle <= F.col("turn_end"))).withColumn("overlap", overlap).where("overlap > 0")
     best = fits.groupBy(*keys, segment_key).agg(F.min_by("turn_speaker", F.struct(-F.col("overlap"), F.col("turn_no"))).alias("label"))
     return segments.join(best, [*keys, segment_key], "left")
 

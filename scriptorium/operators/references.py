@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import ALIASES, normalize_reference, strip_space
 
+#: The form of a typed reference, "<book> <chapter>[:<verse>]".
+REFERENCE = r"(?U)^(.+?)[\s.]*([0-9]+)(?:\s*[:.\s]\s*([0-9]+))?\s*$"
+
 
 def match_books(queries: DataFrame, column: str, books: DataFrame) -> DataFrame:
     """Adds osis: by alias, else exactly, else by a prefix that only one book has. Books are a fixed dimension (a canon).
@@ -28,11 +31,10 @@ def match_books(queries: DataFrame, column: str, books: DataFrame) -> DataFrame:
 def parse_references(queries: DataFrame, column: str, books: DataFrame) -> DataFrame:
     """Adds book, chapter, verse; all null if the book can't be told or has no such chapter. A book alone is chapter 1."""
     text = strip_space(F.col(column))
-    rx = r"(?U)^(.+?)[\s.]*([0-9]+)(?:\s*[:.\s]\s*([0-9]+))?\s*$"
-    hit = text.rlike(rx)
-    parts = queries.withColumn("__book", F.when(hit, F.regexp_extract(text, rx, 1)).otherwise(text))
-    parts = parts.withColumn("__chapter", F.when(hit, F.regexp_extract(text, rx, 2).try_cast("long")).otherwise(F.lit(1)))
-    parts = parts.withColumn("__verse", F.when(hit, F.regexp_extract(text, rx, 3).try_cast("long")))
+    hit = text.rlike(REFERENCE)
+    parts = queries.withColumn("__book", F.when(hit, F.regexp_extract(text, REFERENCE, 1)).otherwise(text))
+    parts = parts.withColumn("__chapter", F.when(hit, F.regexp_extract(text, REFERENCE, 2).try_cast("long")).otherwise(F.lit(1)))
+    parts = parts.withColumn("__verse", F.when(hit, F.regexp_extract(text, REFERENCE, 3).try_cast("long")))
     found = match_books(parts, "__book", books).join(F.broadcast(books.select(F.col("osis").alias("__osis"), "chapter_count")), F.col("osis") == F.col("__osis"), "left")
     ok = F.col("osis").isNotNull() & (F.col("__chapter") >= 1) & (F.col("__chapter") <= F.col("chapter_count")) | (F.col("osis").isNotNull() & ~hit)
     keep = [c for c in queries.columns]

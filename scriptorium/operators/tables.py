@@ -54,6 +54,23 @@ def next_ids(new: DataFrame, table: DataFrame, key: str, order: list[str]) -> Da
     return new.withColumn(key, F.lit(top) + F.row_number().over(Window.orderBy(*order)))
 
 
+def number_rows(rows: DataFrame, group: list[str], blocks: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds a running number from 1 within each group, in the order of blocks, then `order` (a total order).
+
+    Rows are numbered within their block, and blocks by the sum of sizes before them: no task sorts a whole group, only
+    its blocks and a list of block sizes.
+    """
+    own = F.row_number().over(Window.partitionBy(*group, *blocks).orderBy(*order))
+    sizes = rows.groupBy(*group, *blocks).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    keys = [*group, *blocks]
+    numbered = rows.withColumn("__own", own)
+    o = offsets.select(*[F.col(k).alias(f"__{k}") for k in keys], "__offset")
+    same = reduce(lambda a, b: a & b, [numbered[k].eqNullSafe(o[f"__{k}"]) for k in keys])
+    return numbered.join(o, same, "left").select(*rows.columns, (F.col("__offset") + F.col("__own")).alias(name))
+
+
 def index_errors(expected: Column, returned: Column) -> Column:
     """Why a set of returned indices isn't exactly the expected one; null if it is."""
     extra, missing = F.array_except(returned, expected), F.array_except(expected, returned)
