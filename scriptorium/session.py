@@ -34,8 +34,11 @@ def ready(spark: SparkSession) -> SparkSession:
 def spread(rows: DataFrame) -> DataFrame:
     """The rows over all cores, if they come in fewer partitions (a small table in one file); else unchanged.
 
-    For narrow passes that compute much per row. Large tables have more partitions than cores and aren't shuffled.
+    For narrow passes that compute much per row. Large tables have more partitions than cores and aren't shuffled. Rows
+    that come out of a shuffle are left alone: to count their partitions would run it.
     """
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
