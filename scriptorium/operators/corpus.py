@@ -22,8 +22,9 @@ def books_of(verses: DataFrame) -> DataFrame:
 
 
 def chapter(verses: DataFrame, translation_id: int, book: str, number: int) -> DataFrame:
-    """Verses of a chapter in order; all three conditions reach the scan."""
-    return verses.where((F.col("translation_id") == translation_id) & (F.col("book_osis") == book) & (F.col("chapter") == number)).orderBy("verse")
+    """Verses of a chapter in order, each once; all three conditions reach the scan."""
+    rows = verses.where((F.col("translation_id") == translation_id) & (F.col("book_osis") == book) & (F.col("chapter") == number))
+    return rows.dropDuplicates(["verse_id"]).orderBy("verse")
 
 
 def with_tokens(verses: DataFrame, tokens: DataFrame) -> DataFrame:

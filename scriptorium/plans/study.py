@@ -15,6 +15,8 @@ from scriptorium.session import ready, table
 
 #: The translation that is being read.
 ACTIVE = 1
+#: Keys of the stored tables.
+KEYS = {"verses": ["translation_id", "verse_id"], "tokens": ["token_id"], "notes": ["note_id"], "jobs": ["job_id"], "extractions": ["extraction_id"], "pages": ["page_id"], "spans": ["span_id"]}
 
 
 class Study:
@@ -27,6 +29,10 @@ class Study:
         df = table(self.spark, self.folder, name)
         return df.dropDuplicates(list(keys)) if keys else df
 
+    def some(self, name: str, condition) -> DataFrame:
+        """Rows of a table that meet a condition, each once; the condition comes first, so that it reaches the scan."""
+        return self.table(name).where(condition).dropDuplicates(KEYS[name])
+
     @cached_property
     def translations(self) -> DataFrame:
         return self.table("translations")

@@ -92,13 +92,13 @@ def src_plain_text(s):
 @query("SELECT doc_id, idx, trim(text) AS text, confidence, start_s, end_s FROM sp WHERE start_s IS NOT NULL AND trim(text) <> ''", "sp")
 def src_asr(s):
     """Segments as spans: blank ones are left out, idx keeps its holes."""
-    return s.spans.where("start_s IS NOT NULL AND trim(text) <> ''").select("doc_id", "idx", F.trim("text").alias("text"), "confidence", "start_s", "end_s")
+    return s.some("spans", "start_s IS NOT NULL AND trim(text) <> ''").select("doc_id", "idx", F.trim("text").alias("text"), "confidence", "start_s", "end_s")
 
 
 @query("SELECT page_id, image_path FROM pg WHERE page_id = (SELECT max(page_id) FROM pages)", "pg")
 def src_page_bytes(s):
     """The image of one page (a point lookup; its bytes are a binaryFile scan of the path)."""
-    return s.pages.where(c("page_id") == s.pages.agg(F.max("page_id")).first()[0]).select("page_id", "image_path")
+    return s.some("pages", c("page_id") == s.pages.agg(F.max("page_id")).first()[0]).select("page_id", "image_path")
 
 
 @query(f"SELECT translation_id, verse_id, CAST(count(*) OVER (PARTITION BY translation_id ORDER BY b.canonical_order, chapter, verse, verse_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM v JOIN books b ON b.osis = book_osis", "v", "books")
@@ -125,7 +125,7 @@ def str_tokenize_documents(s):
 @query("SELECT translation_id, verse_id, text FROM v WHERE text IS NOT NULL", "v")
 def str_gap_interleave(s):
     """Gaps and words in turn, joined again: nothing is lost."""
-    return s.verses.where("text IS NOT NULL").select("translation_id", "verse_id", F.array_join(T.interleaved(c("text")), "").alias("text"))
+    return s.some("verses", "text IS NOT NULL").select("translation_id", "verse_id", F.array_join(T.interleaved(c("text")), "").alias("text"))
 
 
 @query("SELECT translation_id, book_osis, count(*) AS verses, CAST(sum(count(*)) OVER (PARTITION BY translation_id ORDER BY b.canonical_order) AS BIGINT) AS so_far FROM v JOIN books b ON b.osis = book_osis GROUP BY translation_id, book_osis, b.canonical_order", "v", "books")
@@ -138,7 +138,7 @@ def snk_progress(s):
 @query("SELECT translation_id, verse_id, text FROM v WHERE translation_id <> 1 UNION ALL SELECT 1, book_osis || '.' || chapter || '.' || verse, trim(text) FROM v WHERE translation_id = 2", "v")
 def snk_import_pack(s):
     """Translation 1 is cleared and filled with the verses of translation 2."""
-    new = s.verses.where("translation_id = 2").select(F.lit(1).cast("long").alias("translation_id"), T.verse_id(c("book_osis"), c("chapter"), c("verse")).alias("verse_id"), F.trim("text").alias("text"))
+    new = s.some("verses", "translation_id = 2").select(F.lit(1).cast("long").alias("translation_id"), T.verse_id(c("book_osis"), c("chapter"), c("verse")).alias("verse_id"), F.trim("text").alias("text"))
     old = s.verses.select("translation_id", "verse_id", "text")
     return old.where("translation_id <> 1").unionByName(new)
 
@@ -155,7 +155,7 @@ def snk_store_upload(s):
 
 @query(f"SELECT verse_id, verse, text FROM v WHERE translation_id = 1 AND book_osis = {_BOOK} AND chapter = 1", "v")
 def flt_chapter(s):
-    return C.chapter(s.verses, ACTIVE, s.book, 1).select("verse_id", "verse", "text")
+    return C.chapter(s.table("verses"), ACTIVE, s.book, 1).select("verse_id", "verse", "text")
 
 
 @query(f"SELECT id, note_id FROM a WHERE anchor_type = 'word' AND verse_id = {_BOOK} || '.1.1' AND translation_id = 2 AND token_idx = 2", "a")
@@ -170,7 +170,7 @@ def flt_verse_anchor(s):
 
 @query("SELECT note_id FROM n WHERE " + _LOWER.format("body") + " LIKE '%mercy%' OR " + _LOWER.format("title") + " LIKE '%mercy%'", "n")
 def flt_contains_like(s):
-    return s.notes.where(T.like_contains(c("body"), "Mercy") | T.like_contains(c("title"), "Mercy")).select("note_id")
+    return s.some("notes", T.like_contains(c("body"), "Mercy") | T.like_contains(c("title"), "Mercy")).select("note_id")
 
 
 @query(f"SELECT id FROM a WHERE starts_with({_LOWER.format('verse_id')}, {_LOWER.format(_BOOK)} || '.')", "a")
@@ -191,24 +191,24 @@ def flt_optional_param(s):
 
 @query("SELECT span_id FROM sp WHERE trim(text) <> ''", "sp")
 def flt_nonblank(s):
-    return s.spans.where(F.trim("text") != "").select("span_id")
+    return s.some("spans", F.trim("text") != "").select("span_id")
 
 
 @query("SELECT job_id, CAST(row_number() OVER (ORDER BY created_at, job_id) AS BIGINT) AS place FROM j WHERE state = 'UPLOADED' AND claimed_at IS NULL QUALIFY place <= 10", "j")
 def flt_ready_jobs(s):
     """The ten oldest jobs that wait."""
-    first = s.jobs.where("state = 'UPLOADED' AND claimed_at IS NULL").orderBy("created_at", "job_id").limit(10)
+    first = s.some("jobs", "state = 'UPLOADED' AND claimed_at IS NULL").orderBy("created_at", "job_id").limit(10)
     return first.select("job_id", F.row_number().over(Window.orderBy("created_at", "job_id")).cast("long").alias("place"))
 
 
 @query("SELECT span_id, confidence FROM sp WHERE confidence < 0.75", "sp")
 def flt_low_confidence(s):
-    return s.spans.where(c("confidence") < X.DOUBTFUL).select("span_id", "confidence")
+    return s.some("spans", c("confidence") < X.DOUBTFUL).select("span_id", "confidence")
 
 
-@query("SELECT testament, list(osis ORDER BY canonical_order) AS books FROM books GROUP BY testament", "books")
+@query("SELECT testament, string_agg(osis, ',' ORDER BY canonical_order) AS books FROM books GROUP BY testament", "books")
 def prj_testament_split(s):
-    return s.books.groupBy("testament").agg(F.transform(F.sort_array(F.collect_list(F.struct("canonical_order", "osis"))), lambda x: x["osis"]).alias("books"))
+    return s.books.groupBy("testament").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("canonical_order", "osis"))), lambda x: x["osis"]), ",").alias("books"))
 
 
 @query("SELECT j.job_id, x.job_id IS NOT NULL AS has_text, coalesce(x.verified, false) AS verified, coalesce(x.edited, false) AS edited FROM j LEFT JOIN (SELECT job_id, max(verified) AS verified, max(edited) AS edited FROM x GROUP BY job_id) x USING (job_id)", "j", "x")
@@ -251,7 +251,7 @@ def prj_note_preview_row(s):
 
 @query("SELECT h.id, CASE WHEN h.anchor_type = 'word' THEN '“' || h.surface || '”' ELSE coalesce(v.text, '') END AS label FROM h LEFT JOIN v ON v.translation_id = 1 AND v.verse_id = h.verse_id", "h", "v")
 def prj_highlight_label(s):
-    v = s.verses.where(c("translation_id") == ACTIVE).select("verse_id", "text")
+    v = s.some("verses", c("translation_id") == ACTIVE).select("verse_id", "text")
     return s.highlights.join(v, "verse_id", "left").select("id", F.when(c("anchor_type") == "word", F.concat(F.lit("“"), "surface", F.lit("”"))).otherwise(F.coalesce("text", F.lit(""))).alias("label"))
 
 
@@ -281,7 +281,7 @@ def join_anti_standalone(s):
 
 @query("SELECT b.osis, b.name, b.canonical_order, b.testament, max(v.chapter) AS chapters FROM books b JOIN v ON v.book_osis = b.osis AND v.translation_id = 1 GROUP BY ALL", "books", "v")
 def join_inner_books(s):
-    top = s.verses.where(c("translation_id") == ACTIVE).groupBy(c("book_osis").alias("osis")).agg(F.max("chapter").alias("chapters"))
+    top = s.some("verses", c("translation_id") == ACTIVE).groupBy(c("book_osis").alias("osis")).agg(F.max("chapter").alias("chapters"))
     return top.join(F.broadcast(s.books), "osis").select("osis", "name", "canonical_order", "testament", "chapters")
 
 
@@ -320,7 +320,7 @@ _CHAPTER_NOTES = f"""SELECT n.note_id, a.verse_id, v.verse, a.token_idx, {_STAMP
 
 @query(_CHAPTER_NOTES, "n", "a", "v")
 def join_chapter_notes(s):
-    v = C.chapter(s.verses, ACTIVE, s.book, 1).select("verse_id", "verse")
+    v = C.chapter(s.table("verses"), ACTIVE, s.book, 1).select("verse_id", "verse")
     return s.anchors.join(v, "verse_id").join(s.notes.select("note_id", "created_at"), "note_id").select("note_id", "verse_id", "verse", "token_idx", stamp("created_at"))
 
 
@@ -331,7 +331,7 @@ def sort_chapter_notes(s):
 
 @query(f"SELECT id FROM h WHERE verse_id IN (SELECT verse_id FROM verses WHERE translation_id = 1 AND book_osis = {_BOOK} AND chapter = 1)", "h")
 def join_in_subquery(s):
-    return s.highlights.join(C.chapter(s.verses, ACTIVE, s.book, 1).select("verse_id"), "verse_id", "left_semi").select("id")
+    return s.highlights.join(C.chapter(s.table("verses"), ACTIVE, s.book, 1).select("verse_id"), "verse_id", "left_semi").select("id")
 
 
 _RECENT = f"SELECT h.id, h.color, b.name AS book_name, v.text, {_STAMP.format('h.created_at')} AS created_at FROM h LEFT JOIN books b ON b.osis = split_part(h.verse_id, '.', 1) LEFT JOIN v ON v.verse_id = h.verse_id AND v.translation_id = 1"
@@ -346,7 +346,7 @@ def topk_recent_highlights(s):
 
 def _recent(s, rows):
     b = s.books.select("osis", c("name").alias("book_name"))
-    v = s.verses.where(c("translation_id") == ACTIVE).select("verse_id", "text")
+    v = s.some("verses", c("translation_id") == ACTIVE).select("verse_id", "text")
     return rows.withColumn("osis", T.book_prefix(c("verse_id"))).join(F.broadcast(b), "osis", "left").join(v, "verse_id", "left").select("id", "color", "book_name", "text", stamp("created_at"))
 
 
@@ -381,7 +381,7 @@ _TURNS = "tn AS (SELECT doc_id, speaker AS who, min(start_s) AS ts, max(end_s) A
 
 def _turns(s):
     """Turns from elsewhere: what each speaker says within a minute."""
-    good = s.spans.where("start_s IS NOT NULL AND end_s > start_s AND speaker IS NOT NULL")
+    good = s.some("spans", "start_s IS NOT NULL AND end_s > start_s AND speaker IS NOT NULL")
     per = good.groupBy("doc_id", "speaker", F.floor(c("start_s") / 60).alias("minute")).agg(F.min("start_s").alias("turn_start"), F.max("end_s").alias("turn_end"))
     numbered = per.withColumn("turn_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("turn_start", "speaker", "minute")))
     return numbered.select("doc_id", c("speaker").alias("turn_speaker"), "turn_start", "turn_end", "turn_no")
@@ -399,13 +399,13 @@ _LABEL = (
 
 @query(_LABEL + "SELECT sg.span_id, g.who AS label FROM sg LEFT JOIN g USING (span_id)", "sp")
 def join_interval_speaker(s):
-    segments = s.spans.where("start_s IS NOT NULL").select("span_id", "doc_id", "start_s", "end_s")
+    segments = s.some("spans", "start_s IS NOT NULL").select("span_id", "doc_id", "start_s", "end_s")
     return X.label_speakers(segments, _turns(s), ["doc_id"], "span_id").select("span_id", "label")
 
 
 @query(_LABEL + "SELECT sg.doc_id, bool_or(g.who IS NOT NULL) AS labelled FROM sg LEFT JOIN g USING (span_id) GROUP BY sg.doc_id", "sp")
 def rec_label_speakers_safe(s):
-    segments = s.spans.where("start_s IS NOT NULL").select("span_id", "doc_id", "start_s", "end_s")
+    segments = s.some("spans", "start_s IS NOT NULL").select("span_id", "doc_id", "start_s", "end_s")
     return X.label_speakers(segments, _turns(s), ["doc_id"], "span_id").groupBy("doc_id").agg(F.bool_or(c("label").isNotNull()).alias("labelled"))
 
 
@@ -453,7 +453,7 @@ def agg_notes_by_day(s):
     """Notes per local day of the last 30, zone and day given, not taken from the clock."""
     top = s.table("notes").agg(F.max("created_at").alias("m")).select(F.to_date(F.from_utc_timestamp("m", "+02:00"))).first()[0]
     day = F.to_date(F.from_utc_timestamp("created_at", "+02:00"))
-    return s.notes.where(day >= F.date_sub(F.lit(top), 29)).groupBy(day.cast("string").alias("day")).agg(F.count(F.lit(1)).alias("notes"))
+    return s.some("notes", day >= F.date_sub(F.lit(top), 29)).groupBy(day.cast("string").alias("day")).agg(F.count(F.lit(1)).alias("notes"))
 
 
 # ------------------------------------------------------------------ references
@@ -471,7 +471,7 @@ def _counted_books(s):
 
 
 _TOP = "(SELECT max(chapter) FROM verses WHERE book_osis = (SELECT max(book_osis) FROM verses))"
-_PARSED_SQL = f"SELECT k, CASE WHEN c IS NOT NULL AND c BETWEEN 1 AND {_TOP} THEN {_BOOK} END AS book, CASE WHEN c BETWEEN 1 AND {_TOP} THEN c END AS chapter, CASE WHEN c BETWEEN 1 AND {_TOP} AND w > 0 THEN w END AS verse FROM (VALUES (0, 1, 3), (1, 1, 2), (2, 1, 1), (3, 1, NULL), (4, 1, NULL), (5, 99, NULL), (6, NULL, NULL), (7, NULL, NULL), (8, NULL, NULL), (9, 1, 4), (10, 0, NULL)) AS q(k, c, w)"
+_PARSED_SQL = f"SELECT k, CASE WHEN c IS NOT NULL AND c BETWEEN 1 AND {_TOP} THEN {_BOOK} END AS book, CASE WHEN c BETWEEN 1 AND {_TOP} THEN c END AS chapter, CASE WHEN c BETWEEN 1 AND {_TOP} AND w > 0 THEN w END AS verse FROM (SELECT CAST(k AS BIGINT) AS k, CAST(c AS BIGINT) AS c, CAST(w AS BIGINT) AS w FROM (VALUES (0, 1, 3), (1, 1, 2), (2, 1, 1), (3, 1, NULL), (4, 1, NULL), (5, 99, NULL), (6, NULL, NULL), (7, NULL, NULL), (8, NULL, NULL), (9, 1, 4), (10, 0, NULL)) AS r(k, c, w)) AS q"
 
 
 @query(_PARSED_SQL)
@@ -543,7 +543,7 @@ def str_format_reference(s):
 
 @query("SELECT x.extraction_id, CASE WHEN length(text) = 0 THEN 0.0 ELSE greatest(0, 1 - 10 * (length(text) - length(replace(text, '�', ''))) / length(text)) END AS confidence FROM x WHERE text IS NOT NULL", "x")
 def str_decode_confidence(s):
-    return s.extractions.where("text IS NOT NULL").select("extraction_id", T.decode_confidence(c("text")).alias("confidence"))
+    return s.some("extractions", "text IS NOT NULL").select("extraction_id", T.decode_confidence(c("text")).alias("confidence"))
 
 
 @query("SELECT id, CASE WHEN anchor_type = 'word' THEN '“' || surface || '” · ' || verse_id ELSE verse_id END AS label FROM a", "a")
@@ -673,7 +673,7 @@ def agg_job_counts(s):
 
 @query("SELECT count(*) AS n FROM j WHERE state = 'NEEDS_REVIEW'", "j")
 def agg_needs_review(s):
-    return s.jobs.where("state = 'NEEDS_REVIEW'").agg(F.count(F.lit(1)).alias("n"))
+    return s.some("jobs", "state = 'NEEDS_REVIEW'").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id, string_agg(text, chr(10) ORDER BY idx, span_id) AS text FROM sp WHERE trim(text) <> '' GROUP BY doc_id", "sp")
@@ -684,7 +684,7 @@ def agg_text_rebuild(s):
 @query("SELECT doc_id, string_agg(CASE WHEN speaker IS NOT NULL AND speaker <> '' THEN '[' || speaker || '] ' || text ELSE text END, chr(10) ORDER BY idx, span_id) AS text FROM sp WHERE start_s IS NOT NULL GROUP BY doc_id", "sp")
 def agg_transcript_text(s):
     line = F.when(c("speaker").isNotNull() & (c("speaker") != ""), F.concat(F.lit("["), "speaker", F.lit("] "), "text")).otherwise(c("text"))
-    rows = s.spans.where("start_s IS NOT NULL").select("doc_id", "idx", "span_id", line.alias("text"))
+    rows = s.some("spans", "start_s IS NOT NULL").select("doc_id", "idx", "span_id", line.alias("text"))
     return rows.groupBy("doc_id").agg(F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY idx, span_id)").alias("text"))
 
 
@@ -710,7 +710,7 @@ def agg_doc_confidence_cloud(s):
 
 @query("SELECT doc_id, speaker, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(idx), speaker) AS BIGINT) AS place FROM sp WHERE speaker IS NOT NULL AND speaker <> '' GROUP BY doc_id, speaker", "sp")
 def agg_distinct_speakers(s):
-    first = s.spans.where("speaker IS NOT NULL AND speaker <> ''").groupBy("doc_id", "speaker").agg(F.min("idx").alias("seen"))
+    first = s.some("spans", "speaker IS NOT NULL AND speaker <> ''").groupBy("doc_id", "speaker").agg(F.min("idx").alias("seen"))
     return first.select("doc_id", "speaker", F.row_number().over(Window.partitionBy("doc_id").orderBy("seen", "speaker")).cast("long").alias("place"))
 
 
@@ -740,7 +740,7 @@ def win_prev_next_chapter(s):
 
 @query("SELECT span_id, CAST(row_number() OVER (PARTITION BY doc_id, page_id ORDER BY round_even(coalesce(y, 0) / 0.02, 0), coalesce(x, 0), idx, span_id) - 1 AS BIGINT) AS position FROM sp WHERE page_id IS NOT NULL", "sp")
 def win_span_reading_order(s):
-    return X.reading_order(s.spans.where("page_id IS NOT NULL")).select("span_id", "position")
+    return X.reading_order(s.some("spans", "page_id IS NOT NULL")).select("span_id", "position")
 
 
 @query("SELECT s.span_id, CAST(row_number() OVER (PARTITION BY s.doc_id ORDER BY p.page_no, s.idx, s.span_id) - 1 AS BIGINT) AS position FROM sp s JOIN pg p ON p.page_id = s.page_id", "sp", "pg")
@@ -751,17 +751,17 @@ def win_pdf_renumber(s):
 @query("SELECT span_id, position FROM (SELECT s.span_id, CAST(row_number() OVER (PARTITION BY s.doc_id ORDER BY p.page_no, s.idx, s.span_id) - 1 AS BIGINT) AS position FROM sp s JOIN pg p ON p.page_id = s.page_id WHERE trim(s.text) <> '')", "sp", "pg")
 def src_ocr_pdf(s):
     """Recognised lines of scanned pages, numbered across pages; recognition itself happens elsewhere."""
-    return X.renumber(s.spans.where("trim(text) <> ''").join(s.pages.select("page_id", "page_no"), "page_id")).select("span_id", "position")
+    return X.renumber(s.some("spans", "trim(text) <> ''").join(s.pages.select("page_id", "page_no"), "page_id")).select("span_id", "position")
 
 
 @query("SELECT job_id, CAST(row_number() OVER (ORDER BY created_at, job_id) AS BIGINT) AS place FROM j WHERE state = 'UPLOADED'  AND claimed_at IS NULL QUALIFY place <= 1", "j")
 def win_claim_rank(s):
-    return s.jobs.where("state = 'UPLOADED' AND claimed_at IS NULL").orderBy("created_at", "job_id").limit(1).select("job_id", F.lit(1).cast("long").alias("place"))
+    return s.some("jobs", "state = 'UPLOADED' AND claimed_at IS NULL").orderBy("created_at", "job_id").limit(1).select("job_id", F.lit(1).cast("long").alias("place"))
 
 
 @query("SELECT span_id, batch, CAST(min(idx) OVER (PARTITION BY doc_id, page_id, batch) AS BIGINT) AS first_idx FROM (SELECT *, CAST((row_number() OVER (PARTITION BY doc_id, page_id ORDER BY idx, span_id) - 1) // 8 AS BIGINT) AS batch FROM sp WHERE page_id IS NOT NULL)", "sp")
 def win_cloud_batches(s):
-    return X.batches(s.spans.where("page_id IS NOT NULL")).select("span_id", c("batch").cast("long").alias("batch"), "first_idx")
+    return X.batches(s.some("spans", "page_id IS NOT NULL")).select("span_id", c("batch").cast("long").alias("batch"), "first_idx")
 
 
 @query("SELECT osis FROM books ORDER BY osis <> 'none', canonical_order LIMIT 1", "books")
@@ -807,12 +807,12 @@ def sort_translations(s):
 
 @query(f"SELECT verse_id FROM v WHERE translation_id = 1 AND book_osis = {_BOOK}", "v")
 def sort_verses(s):
-    return s.verses.where((c("translation_id") == ACTIVE) & (c("book_osis") == s.book)).orderBy("chapter", "verse").select("verse_id")
+    return s.some("verses", (c("translation_id") == ACTIVE) & (c("book_osis") == s.book)).orderBy("chapter", "verse").select("verse_id")
 
 
 @query("SELECT token_id FROM tok WHERE translation_id = 1", "tok")
 def sort_tokens(s):
-    return s.tokens.where(c("translation_id") == ACTIVE).orderBy("verse_id", "idx").select("token_id")
+    return s.some("tokens", c("translation_id") == ACTIVE).orderBy("verse_id", "idx").select("token_id")
 
 
 # ------------------------------------------------------------------ sets and changes of tables
@@ -858,7 +858,7 @@ def mut_create_note(s):
 
 @query("SELECT n.note_id, CASE WHEN x.note_id IS NULL THEN n.title ELSE x.state END AS title FROM n LEFT JOIN (SELECT note_id, max(state) AS state FROM jobs WHERE note_id IS NOT NULL GROUP BY note_id) x USING (note_id)", "n")
 def mut_update_note(s):
-    change = s.jobs.where("note_id IS NOT NULL").groupBy("note_id").agg(F.max("state").alias("title"))
+    change = s.some("jobs", "note_id IS NOT NULL").groupBy("note_id").agg(F.max("state").alias("title"))
     return M.update(s.notes.select("note_id", "title"), change, "note_id", ["title"])
 
 
@@ -871,7 +871,7 @@ def mut_delete_note(s):
 
 @query("SELECT id, note_id, verse_id FROM a WHERE note_id NOT IN (SELECT note_id FROM jobs WHERE note_id IS NOT NULL) UNION ALL SELECT DISTINCT -note_id, note_id, 'Gen.1.1' FROM jobs WHERE note_id IS NOT NULL", "a")
 def mut_set_note_anchor(s):
-    new = s.jobs.where("note_id IS NOT NULL").select("note_id").distinct().select((-c("note_id")).alias("id"), "note_id", F.lit("Gen.1.1").alias("verse_id"))
+    new = s.some("jobs", "note_id IS NOT NULL").select("note_id").distinct().select((-c("note_id")).alias("id"), "note_id", F.lit("Gen.1.1").alias("verse_id"))
     return M.replace_group(s.anchors.select("id", "note_id", "verse_id"), new, ["note_id"])
 
 
@@ -902,7 +902,7 @@ def mut_clear_text(s):
 @query("SELECT span_id, doc_id, text FROM sp WHERE doc_id NOT IN (SELECT doc_id FROM jobs WHERE state = 'ERROR') UNION ALL SELECT DISTINCT -doc_id, doc_id, 'read again' FROM jobs WHERE state = 'ERROR'", "sp")
 def mut_store_extraction(s):
     """Spans of documents that were read again are replaced as a whole."""
-    new = s.jobs.where("state = 'ERROR'").select("doc_id").distinct().select((-c("doc_id")).alias("span_id"), "doc_id", F.lit("read again").alias("text"))
+    new = s.some("jobs", "state = 'ERROR'").select("doc_id").distinct().select((-c("doc_id")).alias("span_id"), "doc_id", F.lit("read again").alias("text"))
     return M.replace_group(s.spans.select("span_id", "doc_id", "text"), new, ["doc_id"])
 
 
@@ -930,13 +930,13 @@ def dt_local_day(s):
 @query("SELECT note_id FROM n WHERE CAST(created_at AS DATE) >= (SELECT CAST(max(created_at) AS DATE) - 29 FROM notes)", "n")
 def dt_window_30(s):
     top = s.table("notes").agg(F.max("created_at").cast("date")).first()[0]
-    return s.notes.where(F.to_date("created_at") >= F.date_sub(F.lit(top), 29)).select("note_id")
+    return s.some("notes", F.to_date("created_at") >= F.date_sub(F.lit(top), 29)).select("note_id")
 
 
 @query("SELECT job_id FROM j WHERE claimed_at IS NOT NULL AND claimed_at <= (SELECT max(claimed_at) FROM jobs) - INTERVAL 120 SECOND", "j")
 def dt_lease_stale(s):
     top = s.table("jobs").agg(F.max("claimed_at")).first()[0]
-    return s.jobs.where(c("claimed_at") <= F.lit(top) - F.expr("interval 120 seconds")).select("job_id")
+    return s.some("jobs", c("claimed_at") <= F.lit(top) - F.expr("interval 120 seconds")).select("job_id")
 
 
 @query("SELECT note_id, strftime(created_at, '%Y-%m-%d') AS day FROM n", "n")
@@ -963,13 +963,13 @@ def src_pdf_text(s):
 
 @query("SELECT x.extraction_id, least(coalesce(x.confidence, 1.0), CASE WHEN length(x.text) = 0 THEN 0.0 ELSE greatest(0, 1 - 10 * (length(x.text) - length(replace(x.text, '�', ''))) / length(x.text)) END) AS confidence FROM x WHERE text IS NOT NULL", "x")
 def math_combined_conf(s):
-    return s.extractions.where("text IS NOT NULL").select("extraction_id", F.least(F.coalesce("confidence", F.lit(1.0)), T.decode_confidence(c("text"))).alias("confidence"))
+    return s.some("extractions", "text IS NOT NULL").select("extraction_id", F.least(F.coalesce("confidence", F.lit(1.0)), T.decode_confidence(c("text"))).alias("confidence"))
 
 
 @query("SELECT span_id, round(1 - y - h, 3) AS y FROM sp WHERE y IS NOT NULL", "sp")
 def math_box_flip(s):
     """Boxes measured from the other edge of the page."""
-    return s.spans.where("y IS NOT NULL").select("span_id", F.bround(1 - c("y") - c("h"), 3).alias("y"))
+    return s.some("spans", "y IS NOT NULL").select("span_id", F.bround(1 - c("y") - c("h"), 3).alias("y"))
 
 
 @query("SELECT s.span_id, round(greatest(0.0, s.x - 0.004) * p.width, 6) AS \"left\", round(greatest(0.0, s.y - 0.004) * p.height, 6) AS top, round(greatest(1.0, least(1.0, s.w + 0.008) * p.width), 6) AS crop_width, round(greatest(1.0, least(1.0, s.h + 0.008) * p.height), 6) AS crop_height, CAST(NULL AS VARCHAR) AS error FROM sp s JOIN pg p ON p.page_id = s.page_id WHERE s.x IS NOT NULL AND s.y IS NOT NULL AND s.w IS NOT NULL AND s.h IS NOT NULL UNION ALL SELECT s.span_id, NULL, NULL, NULL, NULL, 'a span without a position can''t be cut out' FROM sp s JOIN pg p ON p.page_id = s.page_id WHERE s.x IS NULL OR s.y IS NULL OR s.w IS NULL OR s.h IS NULL", "sp", "pg")
@@ -980,19 +980,19 @@ def math_crop_rect(s):
 
 @query("SELECT span_id, least(end_s, start_s + 5) - greatest(start_s, 2.5) AS overlap FROM sp WHERE start_s IS NOT NULL AND end_s IS NOT NULL", "sp")
 def math_overlap(s):
-    return s.spans.where("start_s IS NOT NULL AND end_s IS NOT NULL").select("span_id", (F.least("end_s", c("start_s") + 5) - F.greatest("start_s", F.lit(2.5))).alias("overlap"))
+    return s.some("spans", "start_s IS NOT NULL AND end_s IS NOT NULL").select("span_id", (F.least("end_s", c("start_s") + 5) - F.greatest("start_s", F.lit(2.5))).alias("overlap"))
 
 
 @query("SELECT span_id, CAST(floor(confidence * 100 + 0.5) AS BIGINT) AS pct FROM sp WHERE confidence IS NOT NULL", "sp")
 def math_percent(s):
-    return s.spans.where("confidence IS NOT NULL").select("span_id", F.floor(c("confidence") * 100 + 0.5).cast("long").alias("pct"))
+    return s.some("spans", "confidence IS NOT NULL").select("span_id", F.floor(c("confidence") * 100 + 0.5).cast("long").alias("pct"))
 
 
-@query("SELECT p.page_id, p.doc_id, p.page_no, coalesce(s.spans, []) AS spans FROM pg p LEFT JOIN (SELECT page_id, list(span_id ORDER BY idx, span_id) AS spans FROM sp WHERE page_id IS NOT NULL GROUP BY page_id) s USING (page_id)", "pg", "sp")
+@query("SELECT p.page_id, p.doc_id, p.page_no, coalesce(s.spans, '') AS spans FROM pg p LEFT JOIN (SELECT page_id, string_agg(span_id, ',' ORDER BY idx, span_id) AS spans FROM sp WHERE page_id IS NOT NULL GROUP BY page_id) s USING (page_id)", "pg", "sp")
 def arr_pages_spans(s):
     """Pages with their spans as ordered arrays (a page's lines, not a document's); [] without any."""
-    own = s.spans.where("page_id IS NOT NULL").groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "span_id"))), lambda x: x["span_id"]).alias("spans"))
-    return s.pages.select("page_id", "doc_id", "page_no").join(own, "page_id", "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<bigint>)")))
+    own = s.some("spans", "page_id IS NOT NULL").groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "span_id"))), lambda x: x["span_id"]).alias("spans"))
+    return s.pages.select("page_id", "doc_id", "page_no").join(own, "page_id", "left").withColumn("spans", F.array_join(F.coalesce("spans", F.expr("cast(array() as array<bigint>)")).cast("array<string>"), ","))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -1011,13 +1011,13 @@ def json_engines(s):
     return good.unionByName(bad).select("abbrev", F.when(ok, F.size(got)).otherwise(0).cast("long").alias("engines"))
 
 
-_READINGS = "SELECT span_id, CASE WHEN idx % 3 <> 0 THEN '+ ' || text ELSE text END AS text, CASE WHEN idx % 3 <> 0 THEN NULL ELSE 0.0 END AS confidence FROM sp WHERE page_id IS NOT NULL"
+_READINGS = "SELECT span_id, CASE WHEN idx % 3 <> 0 THEN '+ ' || text ELSE text END AS text, CASE WHEN idx % 3 <> 0 THEN NULL ELSE CAST(0.0 AS DOUBLE) END AS confidence FROM sp WHERE page_id IS NOT NULL"
 
 
 @query(_READINGS, "sp")
 def rec_cloud_merge(s):
     """Second readings of scanned lines (here marked; every third one blank)."""
-    spans = s.spans.where("page_id IS NOT NULL").select("span_id", "doc_id", "idx", "text", "confidence")
+    spans = s.some("spans", "page_id IS NOT NULL").select("span_id", "doc_id", "idx", "text", "confidence")
     readings = spans.select("doc_id", "idx", F.when(c("idx") % 3 != 0, F.concat(F.lit("+ "), "text")).otherwise("").alias("reading"), "span_id")
     got = F.trim("reading") != ""
     merged = spans.join(readings.select("span_id", "reading"), "span_id", "left")
@@ -1027,7 +1027,7 @@ def rec_cloud_merge(s):
 @query("SELECT span_id, '+ ' || text AS reading FROM sp WHERE page_id IS NOT NULL", "sp")
 def json_cloud_readings(s):
     """Answers as JSON lines, parsed and checked."""
-    packed = s.spans.where("page_id IS NOT NULL").select("span_id", F.to_json(F.struct(F.array(F.struct(c("idx").alias("index"), F.concat(F.lit("+ "), "text").alias("text"))).alias("lines"))).alias("j"))
+    packed = s.some("spans", "page_id IS NOT NULL").select("span_id", F.to_json(F.struct(F.array(F.struct(c("idx").alias("index"), F.concat(F.lit("+ "), "text").alias("text"))).alias("lines"))).alias("j"))
     lines = packed.select("span_id", F.explode(F.from_json("j", "lines array<struct<index: long, text: string, unreadable: boolean>>")["lines"]).alias("l"))
     return lines.select("span_id", F.when(c("l.unreadable"), "").otherwise(F.coalesce("l.text", F.lit(""))).alias("reading"))
 
@@ -1042,7 +1042,7 @@ def ing_stored_path(s):
 
 @query("SELECT j.job_id, d.filename, d.format, j.attempts FROM j JOIN d USING (doc_id) WHERE j.state = 'UPLOADED'", "j", "d")
 def ing_next_job(s):
-    return s.jobs.where("state = 'UPLOADED'").join(s.documents.select("doc_id", "filename", "format"), "doc_id").select("job_id", "filename", "format", "attempts")
+    return s.some("jobs", "state = 'UPLOADED'").join(s.documents.select("doc_id", "filename", "format"), "doc_id").select("job_id", "filename", "format", "attempts")
 
 
 @query("SELECT job_id, state IN ('UPLOADED', 'EXTRACTING', 'NEEDS_REVIEW', 'VERIFIED', 'DONE', 'ERROR') AS valid FROM j", "j")
@@ -1088,7 +1088,7 @@ def mut_retry(s):
 
 @query("SELECT job_id, CASE WHEN note_id IS NULL THEN state ELSE 'DONE' END AS state FROM j", "j")
 def ing_set_state(s):
-    return J.set_fields(s.jobs, s.jobs.where("note_id IS NOT NULL"), state="DONE").select("job_id", "state")
+    return J.set_fields(s.jobs, s.some("jobs", "note_id IS NOT NULL"), state="DONE").select("job_id", "state")
 
 
 @query("SELECT * FROM (VALUES ('worker_engines', '[]'), ('worker_heartbeat', '2024-01-01 00:00:05')) AS q(key, value)")
@@ -1104,10 +1104,10 @@ def op_worker_status(s):
     return one.select("heartbeat", F.size(F.from_json("e", "array<string>")).cast("long").alias("engines"))
 
 
-@query("SELECT translation_id, verse_id, coalesce(list(surface ORDER BY idx, surface, char_start), []) AS words FROM tok GROUP BY translation_id, verse_id", "tok")
+@query("SELECT translation_id, verse_id, string_agg(surface, ' ' ORDER BY idx, surface, char_start) AS words FROM tok GROUP BY translation_id, verse_id", "tok")
 def arr_tokens(s):
     own = s.tokens.groupBy("translation_id", "verse_id").agg(F.sort_array(F.collect_list(F.struct("idx", "surface", "char_start"))).alias("t"))
-    return own.select("translation_id", "verse_id", F.transform("t", lambda x: x["surface"]).alias("words"))
+    return own.select("translation_id", "verse_id", F.array_join(F.transform("t", lambda x: x["surface"]), " ").alias("words"))
 
 
 @query("SELECT DISTINCT book_osis || '.' || chapter AS position FROM verses")
