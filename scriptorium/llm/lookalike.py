@@ -103,10 +103,16 @@ def home_of(language: str | None, text: str) -> str:
     return max(counts, key=lambda s: (counts[s], s == "LATIN")) if counts else "LATIN"
 
 
+@functools.cache
+def imitated() -> frozenset[str]:
+    """Scripts whose letters plain Latin ones can stand for: there a text of ASCII only isn't regular as such."""
+    return frozenset(script(c) for c in PROTOTYPE) - {"LATIN"}
+
+
 @functools.lru_cache(200_000)
 def judge(word: str, home: str) -> str:
     """`regular`, `doubtful` (a word of look-alikes only, of another script) or `irregular`."""
-    if word.isascii():
+    if word.isascii() and home not in imitated():
         return "regular"
     if any(ignorable(c) and not needed_joiner(word, i) for i, c in enumerate(word)):
         return "irregular"
@@ -250,7 +256,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _vocabulary_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         parts = batch.assign(word=[_WORD.findall(w) for w in batch["word"]]).explode("word").dropna(subset=["word"])
-        good = parts[[w.isascii() or judge(w, h) == "regular" for w, h in zip(parts["word"], parts["home"], strict=True)]]
+        good = parts[[judge(w, h) == "regular" for w, h in zip(parts["word"], parts["home"], strict=True)]]
         yield good.assign(key=[signature(w)[:2] for w in good["word"]])
 
 
@@ -273,16 +279,17 @@ def normalized(rows: DataFrame, words: DataFrame) -> DataFrame:
     """tbl, row_key, text, normal of every row whose text changes; each row_key once.
 
     rows: tbl, row_key, lang, text. words: lang, word, the occurrences that make up the vocabulary. Null and empty texts
-    never change; plain ASCII is regular in every language. An unknown language is judged by the text's own script.
+    never change; plain ASCII is regular unless Latin letters look like those of the language's script. An unknown language is judged by the text's own script.
     Repeated rows count once. Texts are taken whole.
     """
     parts = shuffle_partitions(ready(rows.sparkSession))
     c = F.col
-    src = rows.where(c("text").rlike(_NON_ASCII)).select("tbl", "row_key", F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    scanned = src.mapInPandas(_scan, "tbl string, row_key string, lang string, text string, home string, words array<string>").dropDuplicates(["tbl", "row_key"]).checkpoint()
     script_of = F.create_map(*[F.lit(x) for kv in SCRIPTS.items() for x in kv])
+    own = script_of[F.lower(F.substring("lang", 1, 2))]
+    src = rows.where(c("text").rlike(_NON_ASCII) | own.isin(*imitated()) & (c("text") != "")).select("tbl", "row_key", F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    scanned = src.mapInPandas(_scan, "tbl string, row_key string, lang string, text string, home string, words array<string>").dropDuplicates(["tbl", "row_key"]).checkpoint()
     counts = words.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "word").agg(F.count(F.lit(1)).alias("n"))
-    home = F.coalesce(script_of[F.lower(F.substring("lang", 1, 2))], F.lit("LATIN"))
+    home = F.coalesce(own, F.lit("LATIN"))
     vocabulary = counts.withColumn("home", home).mapInPandas(_vocabulary_words, "lang string, word string, n long, home string, key string")
     wanted = scanned.select("home", "lang", F.explode("words").alias("word")).distinct()
     asked = wanted.mapInPandas(lambda it: (b.assign(n=-1, key=[signature(w)[:2] for w in b["word"]]) for b in it), "home string, lang string, word string, n long, key string")

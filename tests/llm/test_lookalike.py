@@ -35,3 +35,13 @@ def test_without_a_vocabulary_the_table_decides(spark):
     df = spark.createDataFrame([("v", "1", "en", "tһe zһebra​ " + "x" * 50_000)], "tbl string, row_key string, lang string, text string")
     out = L.normalized(df, spark.createDataFrame([], "lang string, word string")).first()["normal"]
     assert out.startswith("the zhebra x")
+
+
+def test_words_of_latin_letters_only_in_other_scripts(spark):
+    assert L.judge("O", "GREEK") == L.judge("c", "CYRILLIC") == "doubtful"
+    assert L.judge("O", "LATIN") == L.judge("lamp", "GREEK") == L.judge("O", "DEVANAGARI") == "regular"
+    texts = [("el", "O"), ("el", "O ξένος ήλθε"), ("el", "Ο ξένος"), ("ru", "c"), ("ru", "он c ней"), ("ru", "lamp 3:16"), ("en", "O"), ("ru", "X"), (None, "O c")]
+    df = spark.createDataFrame([("v", str(i), lang, t) for i, (lang, t) in enumerate(texts)], "tbl string, row_key string, lang string, text string")
+    words = spark.createDataFrame([("el", w) for w in "Ο Ο ξένος O O O".split()] + [("ru", w) for w in "с он ней c c c".split()] + [("en", "O")], "lang string, word string")
+    got = {r["row_key"]: r["normal"] for r in L.normalized(df, words).collect()}
+    assert got == {"0": "Ο", "1": "Ο ξένος ήλθε", "3": "с", "4": "он с ней"}
