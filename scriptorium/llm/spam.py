@@ -34,8 +34,6 @@ SHORT_SALAD_PMI, SHORT_SALAD_WORDS = 1.0, 12
 STUFFED_TIMES, STUFFED_SHARE = 3, 0.4
 #: Share of the words of a unit without an end of sentence that stuffing must cover: prose that lost its stops is one long unit.
 STUFFED_OPEN_SHARE = 0.55
-#: A text is looked at unit by unit if this share of its words shows any of the signs.
-HINT_SHARE = 0.2
 #: Share of a document's words in such units that makes it spam, and the fewest words to judge by.
 SPAM_SHARE, LEAST_WORDS = 0.5, 12
 #: Words of an entry per link, price or tag.
@@ -139,8 +137,8 @@ class Judge:
     def scores(self, texts: list[str | None]) -> list[tuple[int, float, float, float]]:
         """Words, mean PMI, share of words in spam units, largest share of a unit's words that repeated pairs cover.
 
-        Texts that cannot reach SPAM_SHARE by any sign get the shares 0 from sums over the whole text; the others are
-        looked at unit by unit, all units of all texts at once.
+        Every text of at least LEAST_WORDS words is looked at unit by unit, all units of all texts at once; shorter ones
+        get the shares 0.
         """
         ids, starts, inside = _flat(texts)
         n = np.diff(starts)
@@ -150,18 +148,8 @@ class Judge:
         sums = np.concatenate([[0.0], np.cumsum(pmi)])
         first = np.minimum(starts[:-1], len(pmi))
         mean = (sums[np.maximum(np.minimum(starts[1:] - 1, len(pmi)), first)] - sums[first]) / np.maximum(n - 1, 1)
-        w = SHORT_SALAD_WORDS
-        low = np.zeros(len(ids) + 1, np.int64)
-        if len(pmi) >= w:
-            low[1 : len(pmi) - w + 2] = (sums[w:] - sums[:-w]) / w < SALAD_PMI
-        often = np.zeros(len(ids) + 1, np.int64)
-        often[1 : len(inside) + 1] = (_times(ids, np.repeat(np.arange(len(texts)), n)) >= STUFFED_TIMES) & inside
-        hints = np.zeros(len(texts))
-        for sign in (low, often):
-            total = np.cumsum(sign)
-            hints = np.maximum(hints, (total[starts[1:]] - total[starts[:-1]]) / np.maximum(n, 1))
         out = [(int(n[i]), float(mean[i]), 0.0, 0.0) for i in range(len(texts))]
-        look = [i for i, t in enumerate(texts) if t and n[i] >= LEAST_WORDS and (hints[i] >= HINT_SHARE or _marks(t) * MARK_WORDS >= n[i] * SPAM_SHARE)]
+        look = [i for i, t in enumerate(texts) if t and n[i] >= LEAST_WORDS]
         for i, (share, most) in zip(look, self._by_unit([texts[i] for i in look]), strict=True):
             out[i] = (*out[i][:2], share, most)
         return out
@@ -217,11 +205,6 @@ class Judge:
         return list(zip(spam.tolist(), most.tolist(), strict=True))
 
 
-def _marks(text: str) -> int:
-    """Links, prices and tags, at most: a text with too few of them isn't a list of entries."""
-    return text.count("://") + text.count("www.") + text.count("<a") + sum(text.count(c) for c in "#£$€¥₹%") + text.lower().count("sku")
-
-
 def _times(ids: np.ndarray, group: np.ndarray) -> np.ndarray:
     """How often each neighbouring pair occurs in the group of its first word."""
     key = ids[:-1] << np.uint64(32) | ids[1:]

@@ -47,3 +47,14 @@ def test_batches_that_end_in_empty_texts(spark):
 def test_counts_are_those_of_all_texts(spark):
     words, pairs = spam.corpus_counts(spark.createDataFrame([("a b a b",), ("a b",), (None,)], "text string").repartition(2))
     assert words.sum() == 6 and pairs.sum() == 4 and pairs.max() == 3
+
+
+def test_thinly_stuffed_pages_are_judged_by_unit(spark):
+    r = random.Random(7)
+    good, _ = corpus()
+    unit = "cheap rings {} {} cheap rings {} {} {} cheap rings {} {} {} cheap rings {} {}."
+    rare = lambda: "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(4))
+    page = " ".join(unit.format(*[rare() for _ in range(10)]) + " " + " ".join(rare() for _ in range(14)) + "." for _ in range(12))
+    judge = spam.Judge(*spam.corpus_counts(spark.createDataFrame([(t,) for t in [*good, page]], "text string")))
+    words, _, share, stuffed = judge.score(page)
+    assert share > spam.SPAM_SHARE and stuffed >= spam.STUFFED_SHARE, (words, share, stuffed)
