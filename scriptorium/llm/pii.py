@@ -3,7 +3,7 @@
 Tokens near anything that could be personal (digits, at signs, names of the lexicon, titles, street words) form the field.
 Neighbours share transition potentials, and equal words of a text share skip potentials however far apart they are.
 Loopy max-product message passing over all texts of a batch at once finds the labels. The weights were trained here, by
-pseudo-likelihood, on sentences made by pii_train.py; the lexicon of names is fitted on a bounded sample of the corpus.
+pseudo-likelihood, on sentences made by pii_train.py; the lexicon of names is made from all rows of the column of names.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from scriptorium.session import spread
 
 LABELS = ("O", "email", "phone", "id_number", "address", "name")
-#: Rows of names that the lexicon is fitted on, about; which rows is decided by a hash of their key.
-LEXICON_SAMPLE = 50_000
 #: Rounds of message passing, and how much of the old message a new one keeps.
 ROUNDS, DAMPING = 8, 0.2
 #: Texts that are labelled at once.
@@ -411,16 +409,29 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(parts) + text[at:]
 
 
-def lexicon_of(values: DataFrame, column: str, key: str) -> Names:
-    """Lexicon fitted on about LEXICON_SAMPLE rows of a column that holds names, chosen by a hash of the key.
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame(sorted({p for v in batch["v"] for p in name_pairs(v)}), columns=["given", "family"])
 
-    The rows are counted first, so that no more than the sample ever leaves the executors.
+
+def lexicon_of(values: DataFrame, column: str, key: str | None = None) -> Names:
+    """Lexicon by the rules of fit_lexicon over all rows of a column that holds names; a key isn't needed.
+
+    Distinct pairs are made and counted on the executors; only the words of the lexicon leave them.
     """
-    c = F.col(column)
-    named = values.where(c.isNotNull() & (F.trim(c) != "")).select(F.xxhash64(key).alias("h"), c.alias("v"))
-    total = max(1, named.count())
-    sample = named.where(F.pmod("h", F.lit(total)) < LEXICON_SAMPLE).select("v").distinct()
-    return Names(*fit_lexicon([r["v"] for r in sample.collect()]))
+    c = F.col
+    named = values.where(c(column).isNotNull() & (F.trim(column) != "")).select(c(column).alias("v")).distinct()
+    pairs = named.mapInPandas(_pairs, "given string, family string").distinct().checkpoint()
+    lasts = pairs.groupBy(c("given").alias("w")).agg(F.count(F.lit(1)).alias("lasts"))
+    firsts = pairs.groupBy(c("family").alias("w")).agg(F.count(F.lit(1)).alias("firsts"))
+    words = lasts.join(firsts, "w", "full").fillna(0, ["lasts", "firsts"])
+    words = words.withColumn("is_given", c("w").isin(*sorted(GIVEN)) | (c("lasts") >= 2) & (c("lasts") >= c("firsts")))
+    with_given = pairs.join(words.where("is_given").select(c("w").alias("given")), "given", "left_semi").select(c("family").alias("w")).distinct().withColumn("meets_given", F.lit(True))
+    words = words.join(with_given, "w", "left").withColumn("is_family", ~c("is_given") & ((c("firsts") >= 2) | F.coalesce("meets_given", F.lit(False)))).checkpoint()
+    with_family = pairs.join(words.where("is_family").select(c("w").alias("family")), "family", "left_semi").select(c("given").alias("w")).distinct().withColumn("meets_family", F.lit(True))
+    kinds = words.join(with_family, "w", "left").withColumn("is_given", c("is_given") | ~c("is_family") & F.coalesce("meets_family", F.lit(False)))
+    found = kinds.where("is_given or is_family").select("w", "is_family").collect()
+    return Names(GIVEN | {r["w"] for r in found if not r["is_family"]}, {r["w"] for r in found if r["is_family"]})
 
 
 def personal_fields(rows: DataFrame, names: Names) -> DataFrame:

@@ -45,3 +45,12 @@ def test_skip_edges_join_equal_words():
     fields = [pii.field_of("Tilda Varnholt wrote. Later Marek Varnholt came.", NAMES)]
     _, chain, skip = pii.Model.load().graph(fields)
     assert len(skip) == 1 and len(chain) > 5
+
+
+def test_lexicon_holds_the_names_of_all_rows(spark):
+    letters = "translate(cast({} as string), '0123456789', 'abcdefghij')"
+    df = spark.range(120_000).selectExpr("id", f"concat_ws(' ', if(id % 3 = 0, 'Anna', concat('T', {letters.format('id % 700')})), concat('q', {letters.format('id')})) AS v")
+    df = df.unionByName(spark.createDataFrame([(-i, v) for i, v in enumerate(["Dr. Marek Jorvik", "Ivan Jorvik", "Jorvik, Li", "Solo Name", "Otto Name", "Maria Solo"], 1)], "id long, v string"))
+    names = pii.lexicon_of(df, "v", "id")
+    given, family = pii.fit_lexicon([r["v"] for r in df.select("v").collect()])
+    assert names.given == given and names.family == family and len(family) > 110_000
