@@ -6,7 +6,7 @@ pointwise mutual information (PMI) of every neighbouring pair and looks at each
 - word salad: the mean PMI of a unit's pairs is far below that of prose;
 - stuffed unit: pairs of words come back so often that they cover most of the unit;
 - entry: a line of a list of links, goods or tags, that is without an end of sentence and with links, prices or tags;
-  its collocations come back in the document.
+  its collocations come back in the document. A link counts as a word; units of links only are entries.
 
 A document is spam if such units hold most of its words.
 """
@@ -43,7 +43,10 @@ CACHE = 400_000
 #: Texts that are counted and scored at once.
 SLICE = 1_000
 
-_WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W\d_぀-ヿ㐀-鿿]+(?:['’][^\W\d_]+)*")
+#: Stand for a link, and for the end of one, which is no word.
+LINK, LINK_END = "\ue000", "\ue001"
+
+_WORD = re.compile(r"\ue000|[぀-ヿ㐀-鿿]|[^\W\d_぀-ヿ㐀-鿿]+(?:['’][^\W\d_]+)*")
 _LINK = re.compile(r"(?:https?://|www\.)[^\s)\"'<>\]]+|</?a\b[^>]*>", re.I)
 _UNIT = re.compile(r"(?<=[.!?;…])[\"'”’)»]*\s+(?=\W*[^\W_])|(?<=[。।！？])|\n+")
 _END = re.compile(r"[.!?;:…。।！？][\"'”’)»*_\]]*\s*$")
@@ -76,8 +79,21 @@ def _linked(text: str) -> bool:
     return "://" in text or "www." in text.lower() or "<a" in text.lower()
 
 
+def _mark_link(m: re.Match) -> str:
+    if m[0].startswith("</"):
+        return LINK_END
+    return f" {LINK}{m[0][len(m[0].rstrip('.!?;…。')) :]} "
+
+
+def with_links(text: str) -> str:
+    """The text with a sign for each link; a full stop behind an address stays."""
+    text = text.replace(LINK, " ").replace(LINK_END, " ") if LINK in text or LINK_END in text else text
+    return _LINK.sub(_mark_link, text) if _linked(text) else text
+
+
 def words_of(text: str) -> list[str]:
-    return _WORD.findall((_LINK.sub(" ", text) if _linked(text) else text).lower())
+    """Words in lower case; each link is one."""
+    return _WORD.findall(with_links(text).lower())
 
 
 def _flat(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,54 +153,39 @@ class Judge:
     def scores(self, texts: list[str | None]) -> list[tuple[int, float, float, float]]:
         """Words, mean PMI, share of words in spam units, largest share of a unit's words that repeated pairs cover.
 
-        Every text of at least LEAST_WORDS words is looked at unit by unit, all units of all texts at once; shorter ones
-        get the shares 0.
+        Every text of at least LEAST_WORDS words is judged by unit, all units of all texts at once; shorter ones get the
+        shares 0.
         """
-        ids, starts, inside = _flat(texts)
-        n = np.diff(starts)
-        if len(ids) < 2:
-            return [(int(x), 0.0, 0.0, 0.0) for x in n]
-        pmi = np.where(inside, self.pmi(ids), 0.0)
-        sums = np.concatenate([[0.0], np.cumsum(pmi)])
-        first = np.minimum(starts[:-1], len(pmi))
-        mean = (sums[np.maximum(np.minimum(starts[1:] - 1, len(pmi)), first)] - sums[first]) / np.maximum(n - 1, 1)
-        out = [(int(n[i]), float(mean[i]), 0.0, 0.0) for i in range(len(texts))]
-        look = [i for i, t in enumerate(texts) if t and n[i] >= LEAST_WORDS]
-        for i, (share, most) in zip(look, self._by_unit([texts[i] for i in look]), strict=True):
-            out[i] = (*out[i][:2], share, most)
-        return out
-
-    def score(self, text: str | None) -> tuple[int, float, float, float]:
-        return self.scores([text])[0]
-
-    def _by_unit(self, texts: list[str]) -> list[tuple[float, float]]:
-        """Share of words in spam units, and the largest share of a unit that repeated pairs cover, of each text."""
         flat: list[str] = []
-        sizes, doc, links, goods, ends = [], [], [], [], []
+        sizes, doc, links, alone, goods, ends = [], [], [], [], [], []
         for i, t in enumerate(texts):
-            linked = _linked(t)
-            priced = any(c in t for c in "#£$€¥₹%") or "sku" in t.lower()
-            for u in _UNIT.split(t):
-                if not u:
-                    continue
-                k = len(_LINK.findall(u)) if linked else 0
-                ws = words_of(u) if k else _WORD.findall(u.lower())
+            if not t:
+                continue
+            marked = with_links(t)
+            linked = LINK in marked or LINK_END in marked
+            priced = any(c in marked for c in "#£$€¥₹%") or "sku" in marked.lower()
+            for u in _UNIT.split(marked):
+                ws = _WORD.findall(u.lower()) if u else []
                 if ws:
                     flat += ws
                     sizes.append(len(ws))
                     doc.append(i)
-                    links.append(k)
+                    k = u.count(LINK) if linked else 0
+                    links.append(k + u.count(LINK_END) if linked else 0)
+                    alone.append(k == len(ws))
                     goods.append(len(_GOODS.findall(u)) if priced else 0)
                     ends.append(_END.search(u) is not None)
         if len(flat) < 2:
-            return [(0.0, 0.0)] * len(texts)
-        size, of, links, goods, ended = np.array(sizes), np.array(doc), np.array(links), np.array(goods), np.array(ends)
+            return [(doc.count(i), 0.0, 0.0, 0.0) for i in range(len(texts))]
+        size, of, links, alone, goods, ended = np.array(sizes), np.array(doc), np.array(links), np.array(alone), np.array(goods), np.array(ends)
         ids = _word_ids(flat)
+        n = np.bincount(of, size, len(texts)).astype(np.int64)
         unit = np.repeat(np.arange(len(size)), size)
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        inside = unit[1:] == unit[:-1]
-        pmi = np.append(np.where(inside, self.pmi(ids), 0.0), 0.0)
-        coherent = np.add.reduceat(pmi, start) / np.maximum(size - 1, 1)
+        inside, together = unit[1:] == unit[:-1], of[unit[1:]] == of[unit[:-1]]
+        pmi = np.append(np.where(together, self.pmi(ids), 0.0), 0.0)
+        mean = np.bincount(of[unit], pmi, len(texts)) / np.maximum(n - 1, 1)
+        coherent = np.add.reduceat(np.append(np.where(inside, pmi[:-1], 0.0), 0.0), start) / np.maximum(size - 1, 1)
         within, across = _times(ids, unit), _times(ids, of[unit])
 
         def covered(pairs: np.ndarray) -> np.ndarray:
@@ -196,13 +197,17 @@ class Judge:
         stuffed = np.where(size >= 6, covered(within >= STUFFED_TIMES), 0.0)
         bad = (size >= SALAD_WORDS) & (coherent < SALAD_PMI) | (size >= SHORT_SALAD_WORDS) & (coherent < SHORT_SALAD_PMI)
         bad |= (size >= 8) & (stuffed >= np.where(ended, STUFFED_SHARE, STUFFED_OPEN_SHARE))
-        bad |= ~ended & (links > 0) & (size <= MARK_WORDS * links)
+        bad |= alone | ~ended & (links > 0) & (size <= MARK_WORDS * links)
         bad |= ~ended & (goods > 0) & (size <= MARK_WORDS * goods)
         bad |= ~ended & (size > 1) & (size <= MARK_WORDS) & (covered(across >= 2) >= 0.99) & (covered(across >= 4) >= 0.6)
-        spam = np.bincount(of, size * bad, len(texts)) / np.maximum(np.bincount(of, size, len(texts)), 1)
+        spam = np.bincount(of, size * bad, len(texts)) / np.maximum(n, 1)
         most = np.zeros(len(texts))
         np.maximum.at(most, of, stuffed)
-        return list(zip(spam.tolist(), most.tolist(), strict=True))
+        judged = n >= LEAST_WORDS
+        return list(zip(n.tolist(), mean.tolist(), (spam * judged).tolist(), (most * judged).tolist(), strict=True))
+
+    def score(self, text: str | None) -> tuple[int, float, float, float]:
+        return self.scores([text])[0]
 
 
 def _times(ids: np.ndarray, group: np.ndarray) -> np.ndarray:

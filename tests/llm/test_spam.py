@@ -58,3 +58,17 @@ def test_thinly_stuffed_pages_are_judged_by_unit(spark):
     judge = spam.Judge(*spam.corpus_counts(spark.createDataFrame([(t,) for t in [*good, page]], "text string")))
     words, _, share, stuffed = judge.score(page)
     assert share > spam.SPAM_SHARE and stuffed >= spam.STUFFED_SHARE, (words, share, stuffed)
+
+
+def test_bare_links_are_words(spark):
+    r = random.Random(9)
+    good, _ = corpus()
+    judge = spam.Judge(*spam.corpus_counts(spark.createDataFrame([(t,) for t in good], "text string")))
+    bare = [f"https://shop{k}.example/p/{k}?q=a.b" for k in range(300)]
+    foot = "\n" + prose(r, 2)
+    for page in ("\n".join(bare), " ".join(bare), ". ".join(bare) + ".", "\n".join(bare) + foot, "".join(f'<a href="{u}"> </a>\n' for u in bare) + foot):
+        words, _, share, _ = judge.score(page)
+        assert words >= 300 and share > 0.8, (page[:80], words, share)
+    few = prose(r, 6) + " See https://a.example/x. " + prose(r, 6) + "\n" + "\n".join(bare[:4])
+    assert judge.score(few)[2] < 0.2 and judge.score(None) == judge.score("") == (0, 0.0, 0.0, 0.0)
+    assert judge.score("https://a.example/x")[0] == 1
