@@ -1,7 +1,8 @@
 """Keyword-stuffed pages, link lists and product or tag lists (problem 9).
 
-One pass counts words and neighbouring words of the whole corpus in count tables of fixed size; a second pass takes the
-pointwise mutual information (PMI) of every neighbouring pair and looks at each unit of a text (sentence or line):
+Words and neighbouring words of the whole corpus are counted exactly, by 63-bit keys: texts are dealt into blocks by hash,
+each block sends its distinct keys, and gets back their counts over all blocks. With them the pointwise mutual information
+(PMI) of every neighbouring pair is taken, and each unit of a text (sentence or line) is looked at:
 
 - word salad: the mean PMI of a unit's pairs is far below that of prose;
 - stuffed unit: pairs of words come back so often that they cover most of the unit;
@@ -13,19 +14,21 @@ A document is spam if such units hold most of its words.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.session import spread
+from scriptorium.session import ready, shuffle_partitions, spread
 
-#: Bits of the count tables. They bound what is broadcast (4 MB and 16 MB), whatever the corpus.
-WORD_BITS, PAIR_BITS = 19, 21
+#: Characters of a block, about; a block is held by one task at once.
+BLOCK_CHARS = 8_000_000
+#: Key under which the number of all words travels.
+TOTAL = -1
 #: Mean PMI in nats below which a unit of at least SALAD_WORDS words is salad; prose of any language lies above 2.
 SALAD_PMI, SALAD_WORDS = 1.45, 24
 #: The same for shorter units, whose means vary more.
@@ -56,7 +59,7 @@ _ids: dict[str, int] = {}
 
 
 def _word_ids(words: list[str]) -> np.ndarray:
-    """32-bit ids of words, the same on every machine."""
+    """64-bit ids of words, the same on every machine."""
     get = _ids.get
     out = [get(w, -1) for w in words]
     if -1 in out:
@@ -64,15 +67,18 @@ def _word_ids(words: list[str]) -> np.ndarray:
             _ids.clear()
         for i, x in enumerate(out):
             if x < 0:
-                out[i] = _ids[words[i]] = zlib.crc32(words[i].encode("utf-8", "surrogatepass"))
+                digest = hashlib.blake2b(words[i].encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                out[i] = _ids[words[i]] = int.from_bytes(digest, "little")
     return np.array(out, np.uint64)
 
 
-def _slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of words and of neighbouring pairs in the count tables."""
-    words = (ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - WORD_BITS)
-    pairs = ((ids[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (ids[1:] + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - PAIR_BITS)
-    return words.astype(np.int64), pairs.astype(np.int64)
+def _keys(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of words and of neighbouring pairs: even ones and odd ones, never TOTAL."""
+    x = ids[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (ids[1:] + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    pairs = (x | np.uint64(1)).view(np.int64)
+    return (ids & ~np.uint64(1)).view(np.int64), np.where(pairs == TOTAL, 1, pairs)
 
 
 def _linked(text: str) -> bool:
@@ -110,45 +116,77 @@ def _flat(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _word_ids(flat), starts, inside
 
 
-def corpus_counts(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Counts of all words and neighbouring pairs of all texts, by slot; each partition adds up its own before the shuffle."""
+class Counts:
+    """Counts by key. `total` is their sum over the corpus, where only some of its keys are held."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, total: int | None = None):
+        order = np.argsort(keys)
+        self.keys, self.n = keys[order], n[order]
+        self.total = int(n.sum()) if total is None else total
+
+    def sum(self) -> int:
+        return self.total
+
+    def max(self) -> int:
+        return int(self.n.max(initial=0))
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Count of each key, 0 for unknown ones."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.n[at], 0)
+
+
+def _block_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of words and neighbouring pairs with their counts; the number of words under TOTAL."""
+    keys, counts, total = [], [], 0
+    for at in range(0, len(texts), SLICE):
+        ids, _, inside = _flat(texts[at : at + SLICE])
+        if len(ids):
+            a, b = _keys(ids)
+            k, n = np.unique(np.concatenate([a, b[inside]]), return_counts=True)
+            keys.append(k)
+            counts.append(n)
+            total += len(ids)
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    k, where = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.zeros(len(k), np.int64)
+    np.add.at(n, where, np.concatenate(counts))
+    return np.append(k, TOTAL), np.append(n, total)
+
+
+def _split(keys: np.ndarray, n: np.ndarray) -> tuple[Counts, Counts]:
+    """Counts of words and of pairs from rows with TOTAL."""
+    words, pairs = keys % 2 == 0, (keys % 2 == 1) & (keys != TOTAL)
+    return Counts(keys[words], n[words], int(n[keys == TOTAL].sum())), Counts(keys[pairs], n[pairs])
+
+
+def corpus_counts(docs: DataFrame, text: str = "text") -> tuple[Counts, Counts]:
+    """Counts of all words and neighbouring pairs of all texts, collected: for a look at corpora that one machine can hold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, pairs = np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << PAIR_BITS, np.int64)
         for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                ids, _, inside = _flat(batch["t"].iloc[at : at + SLICE].tolist())
-                if len(ids):
-                    a, b = _slots(ids)
-                    words += np.bincount(a, minlength=len(words))
-                    pairs += np.bincount(b[inside], minlength=len(pairs))
-        for table, counts in ((0, words), (1, pairs)):
-            at = np.flatnonzero(counts)
-            if len(at):
-                yield pd.DataFrame({"slot": at * 2 + table, "n": counts[at]})
-
-    parts = spread(docs.select(F.col(text).alias("t"))).mapInPandas(run, "slot long, n long")
-    rows = parts.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    words, pairs = np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << PAIR_BITS, np.int64)
-    slot, n = rows["slot"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-    words[slot[slot % 2 == 0] >> 1] = n[slot % 2 == 0]
-    pairs[slot[slot % 2 == 1] >> 1] = n[slot % 2 == 1]
-    return words, pairs
+            yield pd.DataFrame(dict(zip(("key", "n"), _block_counts(batch["t"].tolist()), strict=True)))
+
+    parts = spread(docs.select(F.col(text).alias("t"))).mapInPandas(run, "key long, n long")
+    rows = parts.groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    return _split(rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
 
 
 class Judge:
     """Scores texts against corpus counts."""
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray):
+    def __init__(self, words: Counts, pairs: Counts):
         self.words, self.pairs = words, pairs
-        self.total, self.noise = max(1, int(words.sum())), int(pairs.sum()) / len(pairs)
-        self.logs = np.log(np.maximum(words, 1))
+        self.total = max(1, words.sum())
 
     def pmi(self, ids: np.ndarray) -> np.ndarray:
-        """PMI of each neighbouring pair, less what other pairs in the same slot are expected to add."""
-        a, b = _slots(ids)
-        seen = np.maximum(self.pairs[b] - self.noise, 0.5)
-        return np.log(seen) + np.log(self.total) - self.logs[a[:-1]] - self.logs[a[1:]]
+        """PMI of each neighbouring pair; pairs that the corpus lacks count as seen half a time."""
+        a, b = _keys(ids)
+        logs = np.log(np.maximum(self.words.of(a), 1))
+        return np.log(np.maximum(self.pairs.of(b), 0.5)) + np.log(self.total) - logs[:-1] - logs[1:]
 
     def scores(self, texts: list[str | None]) -> list[tuple[int, float, float, float]]:
         """Words, mean PMI, share of words in spam units, largest share of a unit's words that repeated pairs cover.
@@ -212,7 +250,7 @@ class Judge:
 
 def _times(ids: np.ndarray, group: np.ndarray) -> np.ndarray:
     """How often each neighbouring pair occurs in the group of its first word."""
-    key = ids[:-1] << np.uint64(32) | ids[1:]
+    key = _keys(ids)[1]
     g = group[:-1]
     order = np.lexsort((key, g))
     k, h = key[order], g[order]
@@ -226,20 +264,30 @@ def _times(ids: np.ndarray, group: np.ndarray) -> np.ndarray:
 def spam_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, words, mean_pmi, spam_share, stuffed_share and is_spam of every row.
 
-    Null, empty and very short texts are no spam. Two scans of the texts; the shuffle between them holds count tables of
-    fixed size only, so hot sources and long documents do no harm. Repeated rows get the same scores.
+    Null, empty and very short texts are no spam. Texts are shuffled once, by a hash of row and text, so hot sources do no
+    harm; nothing is broadcast. A block sends each of its distinct keys once, so that a frequent pair has no more rows
+    than there are blocks. Repeated rows get the same scores.
     """
-    tables = docs.sparkSession.sparkContext.broadcast(corpus_counts(docs, text))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge = Judge(*tables.value)
-        for batch in batches:
-            rows = [r for at in range(0, len(batch), SLICE) for r in judge.scores(batch["t"].iloc[at : at + SLICE].tolist())]
-            out = pd.DataFrame(rows, columns=["words", "mean_pmi", "spam_share", "stuffed_share"])
-            out.insert(0, "k", batch["k"].to_numpy())
-            yield out
-
-    rows = spread(docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")))  # as strings, large ids survive beside nulls
-    out = rows.mapInPandas(run, "k string, words long, mean_pmi double, spam_share double, stuffed_share double")
-    spam = (F.col("spam_share") > SPAM_SHARE) & (F.col("words") >= LEAST_WORDS)
-    return out.select(F.col("k").cast(docs.schema[key].dataType).alias(key), "words", "mean_pmi", "spam_share", "stuffed_share", spam.alias("is_spam"))
+    c = F.col
+    parts = shuffle_partitions(ready(docs.sparkSession))
+    rows = docs.select(c(key).cast("string").alias("k"), c(text).alias("t"))  # as strings, large ids survive beside nulls
+    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("k", "t"), F.lit(max(2 * parts, chars // BLOCK_CHARS)))).repartition(parts, "block")
+
+    def count(block: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        keys, n = _block_counts(group["t"].tolist())
+        return pd.DataFrame({"block": np.full(len(keys), block[0]), "key": keys, "n": n})
+
+    def score(_: tuple, group: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        judge = Judge(*_split(counts["key"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)))
+        texts = group["t"].tolist()
+        found = [r for at in range(0, len(texts), SLICE) for r in judge.scores(texts[at : at + SLICE])]
+        out = pd.DataFrame(found, columns=["words", "mean_pmi", "spam_share", "stuffed_share"])
+        out.insert(0, "k", group["k"].to_numpy())
+        return out
+
+    own = blocks.groupBy("block").applyInPandas(count, "block long, key long, n long").repartition(parts, "key")
+    counted = own.select("block", "key", F.sum("n").over(Window.partitionBy("key")).alias("n")).repartition(parts, "block")
+    out = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(score, "k string, words long, mean_pmi double, spam_share double, stuffed_share double")
+    spam = (c("spam_share") > SPAM_SHARE) & (c("words") >= LEAST_WORDS)
+    return out.select(c("k").cast(docs.schema[key].dataType).alias(key), "words", "mean_pmi", "spam_share", "stuffed_share", spam.alias("is_spam"))

@@ -1,3 +1,4 @@
+import math
 import random
 
 from scriptorium.llm import spam
@@ -72,3 +73,23 @@ def test_bare_links_are_words(spark):
     few = prose(r, 6) + " See https://a.example/x. " + prose(r, 6) + "\n" + "\n".join(bare[:4])
     assert judge.score(few)[2] < 0.2 and judge.score(None) == judge.score("") == (0, 0.0, 0.0, 0.0)
     assert judge.score("https://a.example/x")[0] == 1
+
+
+def test_scores_are_by_exact_counts(spark):
+    r = random.Random(11)
+    texts = [" ".join(f"{r.choice('abcdefgh')}{r.choice(NOUNS)}{r.randrange(10**9):x}".translate(str.maketrans("0123456789", "ghijklmnop")) for _ in range(40)) for _ in range(1500)] + ["rare pair " + prose(r, 2)] * 3 + [None, "", "one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    words, pairs = {}, {}
+    for t in texts:
+        ws = spam.words_of(t or "")
+        for w in ws:
+            words[w] = words.get(w, 0) + 1
+        for p in zip(ws, ws[1:]):
+            pairs[p] = pairs.get(p, 0) + 1
+    total = sum(words.values())
+    rows = spam.spam_scores(df).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        ws = spam.words_of(texts[row["doc_id"]] or "")
+        pmi = [math.log(pairs[a, b] * total / words[a] / words[b]) for a, b in zip(ws, ws[1:])]
+        assert row["words"] == len(ws) and abs(row["mean_pmi"] - sum(pmi) / max(1, len(pmi))) < 1e-6
