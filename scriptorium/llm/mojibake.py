@@ -24,8 +24,8 @@ from scriptorium.session import spread
 WRONG = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "mac_roman", "koi8-r", "cp866", "iso8859-15")
 TWICE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251")
 #: Scripts with two or three bytes a character, and the blocks of ideographs with the encodings they are tried with.
-REPERTOIRE = ((0xA0, 0x180), (0x218, 0x21C), (0x386, 0x3CF), (0x400, 0x460), (0x490, 0x492), (0x5D0, 0x5EB), (0x620, 0x653), (0x901, 0x970), (0x200B, 0x2010), (0x2010, 0x2028), (0x2030, 0x203B), (0x20AC, 0x20AD), (0x2122, 0x2123), (0x2190, 0x2194), (0x2212, 0x2213), (0x221E, 0x221F), (0x2248, 0x2249), (0x2260, 0x2266), (0xFEFF, 0xFF00))
-WIDE = ((0x3000, 0x3100), (0x4E00, 0xA000), (0xFF00, 0xFF5F))
+REPERTOIRE = ((0xA0, 0x180), (0x218, 0x21C), (0x386, 0x3CF), (0x400, 0x460), (0x490, 0x492), (0x591, 0x5C8), (0x5D0, 0x5EB), (0x620, 0x653), (0x901, 0x970), (0x1EA0, 0x1EFA), (0x1F00, 0x2000), (0x200B, 0x2010), (0x2010, 0x2028), (0x2030, 0x203B), (0x20AC, 0x20AD), (0x2122, 0x2123), (0x2190, 0x2194), (0x2212, 0x2213), (0x221E, 0x221F), (0x2248, 0x2249), (0x2260, 0x2266), (0xFEFF, 0xFF00))
+WIDE = ((0x3000, 0x3100), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0xFF00, 0xFF5F))
 WIDE_WRONG = ("latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1251")
 #: One-byte encodings of scripts that are read as a Latin one, and as each other.
 ONE_BYTE = ("cp1251", "cp1253", "koi8-r", "cp866", "iso8859-5", "iso8859-7")
@@ -37,6 +37,10 @@ VOWELS = set("аеёиоуыэюяіїєαεηιουωάέήίόύώϊϋΐΰ")
 
 _HIGH_WORD = re.compile(r"[À-ÿŒœŠšŽžŸ]+")
 _CYRILLIC_WORD = re.compile(r"[А-яЁё]+")
+#: Small letters of Western languages, and what they become as DOS or Mac text that a Latin word can't hold after its first letter.
+_ACCENTED = set("àáâãäåçèéêëìíîïñòóôõöøùúûüý")
+_WESTERN_ODD = frozenset(x for c in _ACCENTED for e in ("cp850", "cp437", "mac_roman") if not (x := c.encode("cp1252").decode(e)).islower() or "Ͱ" <= x <= "Ͽ") - set("-'’.,;:·–—‘“”„‚\xa0˚˙¸¨ˇ˜¯§¶†‡°´²³¹¾")
+_WESTERN_WORD = re.compile(rf"(?<![^\W\d_])[A-Za-zÀ-ÿ](?:[^\W\d_]|[{re.escape(''.join(sorted(c for c in _WESTERN_ODD if not c.isalpha())))}](?=[^\W\d_]))+(?![^\W\d_])")
 _CLOSING, _OPENING = set("”’»›"), set("“‘«‹„‚")
 
 
@@ -81,7 +85,7 @@ def patterns() -> dict[str, list[tuple[str, str, int]]]:
             for c in chars:
                 g = read_as(c.encode(), wrong)
                 out.setdefault(g, []).append((c, wrong, _weight(g, wrong, c)))
-                if wrong in TWICE and ord(c) < 0x3000:
+                if wrong in TWICE:
                     for again in ("cp1252", "latin-1") if wrong in ("cp1252", "latin-1") else (wrong,):
                         out.setdefault(read_as(g.encode("utf-8", "surrogatepass"), again), []).append((c, f"{wrong}, {again}", STRONG))
                 if wrong in ("latin-1", "cp1252"):
@@ -92,6 +96,49 @@ def patterns() -> dict[str, list[tuple[str, str, int]]]:
     return out
 
 
+@functools.lru_cache(1)
+def _four_bytes() -> tuple[re.Pattern, list[tuple[str, dict[str, int]]], frozenset[str]]:
+    """Characters above U+FFFF are too many for a table: a pattern of all their forms, the byte of each part of a form by
+    encoding, and what forms begin with."""
+    units = []
+    for wrong in WRONG:
+        byte = [read_as(bytes([b]), wrong) for b in range(256)]
+        units.append((wrong, {byte[b]: b for b in range(0x80, 0x100)}))
+        if wrong in TWICE:
+            for again in ("cp1252", "latin-1") if wrong in ("cp1252", "latin-1") else (wrong,):
+                units.append((f"{wrong}, {again}", {read_as(byte[b].encode(), again): b for b in range(0x80, 0x100)}))
+    units.append(("reference", {f"&#{b};": b for b in range(0x80, 0x100)} | {f"&#{ord(read_as(bytes([b]), 'cp1252'))};": b for b in range(0x80, 0x100)}))
+
+    def either(of: dict[str, int], low: int, high: int) -> str:
+        return "(?:" + "|".join(re.escape(u) for u, b in of.items() if low <= b < high) + ")"
+
+    forms = [f"{either(of, 0xF0, 0xF5)}{either(of, 0x80, 0xC0)}{{3}}" for _, of in units]
+    begins = frozenset(u[0] for _, of in units for u, b in of.items() if 0xF0 <= b < 0xF5)
+    return re.compile("|".join(f"({x})" for x in forms)), units, begins
+
+
+def _four_byte_spans(text: str) -> list[tuple[int, int, list]]:
+    """(start, end, [(character, wrong encoding, weight)]) of each garbled character above U+FFFF."""
+    rx, units, begins = _four_bytes()
+    if begins.isdisjoint(text):
+        return []
+    out = []
+    for m in rx.finditer(text):
+        wrong, of = units[m.lastindex - 1]
+        parts, at = [], 0
+        while at < len(m[0]):
+            size = next(k for k in range(len(m[0]) - at, 0, -1) if m[0][at : at + k] in of)
+            parts.append(of[m[0][at : at + size]])
+            at += size
+        try:
+            char = bytes(parts).decode()
+        except UnicodeDecodeError:
+            continue
+        if unicodedata.category(char) not in ("Cn", "Cc", "Co"):
+            out.append((*m.span(), [(char, wrong, STRONG)]))
+    return out
+
+
 @functools.lru_cache(1)
 def automaton():
     import ahocorasick
@@ -158,19 +205,45 @@ def _one_byte_words(text: str) -> list[tuple[int, int, str]]:
                 spans.append((a, b, back))
                 edges |= {a, b}
     if any("А" <= c <= "Я" for c in text):
-        mixed, letters, gain = [], 0, 0.0
-        for m in _CYRILLIC_WORD.finditer(text):
-            w = m[0]
-            back = _turn_back(w, "cp1251", "koi8-r")
-            upper = sum(c.isupper() for c in w)
-            if back is None or upper * 2 < len(w) and not (len(w) < 3 and upper):
-                continue
-            mixed.append((*m.span(), back))
-            letters += len(w)
-            gain += sum(_log(b) - _log(c) for b, c in zip(back.lower(), w.lower(), strict=True))
-        if letters >= 5 and gain / letters > 0.25:
-            spans += mixed
-    return spans
+        best, most = [], 0.25
+        for wrong, right in (("cp1251", "koi8-r"), ("koi8-r", "cp1251")):
+            mixed, letters, gain = [], 0, 0.0
+            for m in _CYRILLIC_WORD.finditer(text):
+                w = m[0]
+                if _latin(text[m.start() - 1 : m.start()]) or _latin(text[m.end() : m.end() + 1]):
+                    continue
+                back = _turn_back(w, wrong, right)
+                upper = sum(c.isupper() for c in w)
+                if back is None or upper * 2 < len(w) and not (len(w) < 3 and upper):
+                    continue
+                mixed.append((*m.span(), back))
+                letters += len(w)
+                gain += sum(_log(b) - _log(c) for b, c in zip(back.lower(), w.lower(), strict=True))
+            if letters >= 5 and gain / letters > most:
+                best, most = mixed, gain / letters
+        spans += best
+    return spans + _western_words(text)
+
+
+def _western_words(text: str) -> list[tuple[int, int, str]]:
+    """Western words in cp1252 read as a DOS or Mac encoding: capitals, Greek letters or signs after small Latin letters."""
+    if text.isascii():
+        return []
+    found, votes = [], dict.fromkeys(("cp850", "cp437", "mac_roman"), 0)
+    for m in _WESTERN_WORD.finditer(text):
+        w = m[0]
+        if _WESTERN_ODD.isdisjoint(w[1:]) or sum("a" <= c <= "z" for c in w) < 3 or any("A" <= c <= "Z" for c in w[1:]):
+            continue
+        fits = {}
+        for wrong in votes:
+            back = "".join(c if c.isascii() else _turn_back(c, wrong, "cp1252") or c for c in w)
+            letters = [c for c in back if not c.isascii()]
+            if all(c in _ACCENTED or c == "ß" for c in letters):
+                fits[wrong] = back
+                votes[wrong] += sum(3 if c in "éèàáíóúñçäöüß" else 1 for c in letters)
+        if fits:
+            found.append((*m.span(), fits))
+    return [(a, b, fits[max(fits, key=lambda e: votes[e])]) for a, b, fits in found]
 
 
 def _log(c: str) -> float:
@@ -196,6 +269,10 @@ def garbled_spans(text: str | None) -> list[tuple[int, int, str, bool]]:
         for _, wrong, weight in pairs:
             votes[wrong] = votes.get(wrong, 0) + 1 + weight
         found.append((a, b, pairs))
+    if high := _four_byte_spans(text):
+        for *_, pairs in high:
+            votes[pairs[0][1]] = votes.get(pairs[0][1], 0) + 1 + STRONG
+        found = sorted([f for f in found if not any(f[0] < b and a < f[1] for a, b, _ in high)] + high, key=lambda f: f[:2])
     runs: list[list[tuple[int, int, list]]] = []
     for f in found:
         if runs and runs[-1][-1][1] == f[0]:

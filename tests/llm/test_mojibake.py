@@ -47,3 +47,26 @@ def test_table(spark):
     got = {(r["k"], r["field"]): r["restored"] for r in M.garbled_fields(df, "k", ["text", "field"]).collect()}
     assert got == {(1, "text"): TEXT, (2, "field"): TEXT, (None, "text"): TEXT, (2**60 + 1, "text"): TEXT * 300}
     assert M.garbled_fields(df.limit(0), "k", ["text"]).count() == 0
+
+
+@pytest.mark.parametrize("text", ["第七年。羊飼い", "Việt Nữ", "ἀρχῇ ἦν", "בְּרֵאשִׁית", "한국어 말씀", "joy 😀 𝄞 𠀀"])
+def test_all_blocks_once_and_twice(text):
+    for wrong in M.TWICE[:-1]:
+        once = M.read_as(text.encode(), wrong)
+        assert M.restore(once)[::2] == (text, 0), wrong
+        assert M.restore(M.read_as(once.encode(), wrong))[::2] == (text, 0), wrong
+    assert M.restore(text) == (text, 0, 0)
+
+
+@pytest.mark.parametrize("wrong, text", [("cp850", "le café noir"), ("cp437", "le café noir"), ("mac_roman", "le café noir"), ("cp850", "coração"), ("mac_roman", "mañana")])
+def test_western_one_byte_pairs(wrong, text):
+    assert M.restore(text.encode("cp1252").decode(wrong))[0] == text
+
+
+def test_windows_cyrillic_read_as_koi8():
+    assert M.restore(RUSSIAN.encode("cp1251").decode("koi8-r"))[0] == RUSSIAN
+
+
+@pytest.mark.parametrize("text", ["verse² and page³", "große Straße", "Þórr and Óðinn", "10 kΩ, 5±2", "naïve façade", "IRMÃO d’Été", "πίστις"])
+def test_correct_western_words_stay(text):
+    assert M.restore(text) == (text, 0, 0)
