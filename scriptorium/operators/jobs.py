@@ -67,3 +67,29 @@ def claim_order(jobs: DataFrame) -> DataFrame:
     """Place of each waiting job per day of arrival; days are small, the queue need not be."""
     waiting = jobs.where("state = 'UPLOADED' AND claimed_at IS NULL").withColumn("day", F.to_date("created_at"))
     return waiting.withColumn("place", F.row_number().over(Window.partitionBy("day").orderBy("created_at", "job_id")).cast("long"))
+
+
+def delete_jobs(gone: DataFrame, jobs: DataFrame, notes: DataFrame, documents: DataFrame, pages: DataFrame, spans: DataFrame, extractions: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the jobs of `gone` (job_id), and the paths that go with them.
+
+    A job whose note was made and whose document is the source of a note goes alone. Else its document goes, and with it
+    all its jobs, pages and spans; extractions go with their jobs. `paths` are those of the documents and page images that
+    went, `free_paths` those of them that no document or page still has (uploads of the same bytes share a file).
+    """
+    c = F.col
+    chosen = jobs.join(gone.select("job_id").distinct(), "job_id", "left_semi").where("doc_id IS NOT NULL").select("job_id", "doc_id", "note_id")
+    sources = notes.where("doc_id IS NOT NULL").select("doc_id").distinct().withColumn("source", F.lit(True))
+    lost = chosen.join(sources, "doc_id", "left").where("note_id IS NULL OR source IS NULL").select("doc_id").distinct()
+    left = {
+        "jobs": jobs.join(chosen.select("job_id"), "job_id", "left_anti").join(lost, "doc_id", "left_anti"),
+        "documents": documents.join(lost, "doc_id", "left_anti"), "pages": pages.join(lost, "doc_id", "left_anti"), "spans": spans.join(lost, "doc_id", "left_anti"),
+    }
+    gone_jobs = jobs.select("job_id").join(left["jobs"].select("job_id"), "job_id", "left_anti")
+    left["extractions"] = extractions.join(gone_jobs, "job_id", "left_anti")
+
+    def paths(d: DataFrame, p: DataFrame) -> DataFrame:
+        return d.select(c("stored_path").alias("path")).unionByName(p.select(c("image_path").alias("path"))).where("path IS NOT NULL").distinct()
+
+    left["paths"] = paths(documents.join(lost, "doc_id", "left_semi"), pages.join(lost, "doc_id", "left_semi"))
+    left["free_paths"] = left["paths"].join(paths(left["documents"], left["pages"]), "path", "left_anti")
+    return left

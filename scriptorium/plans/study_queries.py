@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -919,6 +920,34 @@ def mut_delete_job(s):
     return s.documents.groupBy("stored_path").agg(F.count(F.lit(1)).alias("documents"))
 
 
+_GONE = """WITH gj AS (SELECT * FROM j WHERE job_id % 3 = 0 AND doc_id IS NOT NULL), gd AS (SELECT DISTINCT doc_id FROM gj WHERE note_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM n WHERE doc_id IS NOT NULL)),
+  lj AS (SELECT * FROM j WHERE job_id NOT IN (SELECT job_id FROM gj) AND (doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM gd))), ld AS (SELECT * FROM d WHERE doc_id NOT IN (SELECT doc_id FROM gd)),
+  lp AS (SELECT * FROM pg WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM gd)), paths AS (SELECT stored_path AS path FROM d WHERE doc_id IN (SELECT doc_id FROM gd) UNION SELECT image_path FROM pg WHERE doc_id IN (SELECT doc_id FROM gd)) """
+
+
+@query(_GONE + """SELECT 'jobs' AS tbl, CAST(job_id AS VARCHAR) AS row_key FROM lj UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR) FROM ld UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR) FROM lp
+  UNION ALL SELECT 'spans', CAST(span_id AS VARCHAR) FROM sp WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM gd)
+  UNION ALL SELECT 'extractions', CAST(extraction_id AS VARCHAR) FROM x WHERE job_id IS NULL OR job_id NOT IN (SELECT job_id FROM j) OR job_id IN (SELECT job_id FROM lj)
+  UNION ALL SELECT 'paths', path FROM paths WHERE path IS NOT NULL
+  UNION ALL SELECT 'free_paths', path FROM paths WHERE path IS NOT NULL AND path NOT IN (SELECT stored_path FROM ld WHERE stored_path IS NOT NULL) AND path NOT IN (SELECT image_path FROM lp WHERE image_path IS NOT NULL)""", "j", "n", "d", "pg", "sp", "x")
+def mut_delete_job_cascade(s):
+    """Every third job is deleted: what is left of each table, and the paths that went."""
+    left = J.delete_jobs(s.some("jobs", "job_id % 3 = 0").select("job_id"), s.jobs, s.notes, s.documents, s.pages, s.spans, s.extractions)
+    keys = {"jobs": "job_id", "documents": "doc_id", "pages": "page_id", "spans": "span_id", "extractions": "extraction_id", "paths": "path", "free_paths": "path"}
+    return reduce(DataFrame.unionByName, [left[t].select(F.lit(t).alias("tbl"), c(k).cast("string").alias("row_key")) for t, k in keys.items()])
+
+
+_ANCHOR = ["anchor_type", "verse_id", "translation_id", "token_idx"]
+
+
+@query("WITH new AS (SELECT -max(id) AS id, anchor_type, verse_id, translation_id, token_idx, 'set again' AS color FROM h WHERE id % 5 = 0 GROUP BY ALL), old AS (SELECT id, anchor_type, verse_id, translation_id, token_idx, color FROM h) SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.anchor_type = old.anchor_type AND new.verse_id = old.verse_id AND new.translation_id IS NOT DISTINCT FROM old.translation_id AND new.token_idx IS NOT DISTINCT FROM old.token_idx) UNION ALL SELECT * FROM new", "h")
+def mut_set_highlight_anchor(s):
+    """Highlights of verses and words are set again: what stood at their anchors goes, the new ones are inserted."""
+    old = s.highlights.select("id", *_ANCHOR, "color")
+    new = s.highlights.where("id % 5 = 0").groupBy(*_ANCHOR).agg((-F.max("id")).alias("id")).select("id", *_ANCHOR, F.lit("set again").alias("color"))
+    return M.replace_group(old, new, _ANCHOR)
+
+
 # ------------------------------------------------------------------ time, numbers, nested values
 
 

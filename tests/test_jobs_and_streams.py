@@ -77,3 +77,15 @@ def test_windows_with_watermark(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r["k"], r["n"]) for r in spark.table("windows").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_deleted_jobs_take_their_documents_along(spark):
+    from scriptorium.operators import jobs
+
+    make = spark.createDataFrame
+    left = jobs.delete_jobs(
+        make([(1,), (2,), (3,)], "job_id long"), make([(1, 10, None), (2, 20, 7), (3, 30, 8), (4, 10, None), (5, 40, None)], "job_id long, doc_id long, note_id long"), make([(7, 20), (9, 10)], "note_id long, doc_id long"), make([(10, "a"), (20, "b"), (30, "c"), (40, "a")], "doc_id long, stored_path string"),
+        make([(100, 10, "p"), (200, 20, "q")], "page_id long, doc_id long, image_path string"), make([(1, 10), (2, 20), (3, 30)], "span_id long, doc_id long"), make([(1, 1), (2, 2), (4, 4), (5, 5)], "extraction_id long, job_id long"),
+    )
+    got = {t: {r[k] for r in left[t].collect()} for t, k in {"jobs": "job_id", "documents": "doc_id", "pages": "page_id", "spans": "span_id", "extractions": "job_id", "paths": "path", "free_paths": "path"}.items()}
+    assert got == {"jobs": {5}, "documents": {20, 40}, "pages": {200}, "spans": {2}, "extractions": {5}, "paths": {"a", "c", "p"}, "free_paths": {"c", "p"}}
