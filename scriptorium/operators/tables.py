@@ -71,6 +71,28 @@ def number_rows(rows: DataFrame, group: list[str], blocks: list[str], order: lis
     return numbered.join(o, same, "left").select(*rows.columns, (F.col("__offset") + F.col("__own")).alias(name))
 
 
+#: A key is hot if it has more than 1 / (HOT_PARTS * shuffle partitions) of all rows and at least HOT_ROWS.
+HOT_PARTS, HOT_ROWS = 4, 20_000
+
+
+def salted_join(rows: DataFrame, other: DataFrame, key: str, spread_by: list[str], hot: DataFrame | None = None) -> DataFrame:
+    """Inner join on a key of which a few values may hold most of `rows`: those are dealt to all partitions by a hash of `spread_by`.
+
+    `hot` is a cheaper frame with the same keys to count, else `rows`. At most HOT_PARTS * partitions keys can be hot, which
+    bounds the list; rows of `other` are copied for hot keys only.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = (rows if hot is None else hot).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(f"n >= {HOT_ROWS}")
+    found = counts.orderBy(F.desc("n")).limit(HOT_PARTS * parts).select(key).collect()
+    keys = [r[0] for r in found]
+    if not keys:
+        return rows.join(other.hint("merge"), key)
+    is_hot = F.col(key).isin(keys)
+    left = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*spread_by), F.lit(parts))).otherwise(F.lit(0)).cast("int"))
+    right = other.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right.hint("merge"), [key, "__salt"]).drop("__salt")
+
+
 def index_errors(expected: Column, returned: Column) -> Column:
     """Why a set of returned indices isn't exactly the expected one; null if it is."""
     extra, missing = F.array_except(returned, expected), F.array_except(expected, returned)

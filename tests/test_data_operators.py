@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import intervals, orphans
+from scriptorium.operators import intervals, orphans, tables
 
 T = [datetime(2024, 1, d) for d in range(1, 29)]
 
@@ -80,3 +80,14 @@ def test_intervals_nested_touching_and_long(spark):
 def test_intervals_of_an_empty_table(spark):
     df = spark.createDataFrame([], "k long, x long, y long")
     assert intervals.periods_and_gaps(df, ["k"], F.col("x"), F.col("y")).count() == 0
+
+
+def test_salted_join_gives_what_a_join_gives(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, i) for i in range(60)] + [(k, k) for k in range(2, 20)] + [(None, 5), (3, 99)], "k long, v long")
+    other = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (40, "e"), (None, "f")], "k long, w string")
+    want = sorted(map(tuple, rows.join(other, "k").collect()))
+    for least in (20_000, 10, 1):
+        monkeypatch.setattr(tables, "HOT_ROWS", least)
+        got = tables.salted_join(rows, other, "k", ["v"])
+        assert sorted(map(tuple, got.collect())) == want and got.columns == ["k", "v", "w"]
+    assert tables.salted_join(rows.limit(0), other, "k", ["v"]).count() == 0
