@@ -1,13 +1,17 @@
 """Passages of evaluation items inside corpus documents (problem 8).
 
 1. One scan of the corpus: texts become words regardless of case, punctuation, markup, spacing and hyphens; where five
-   words in a row are five words in a row of some item, the neighbourhood is kept as word ids (checkpointed, so that the
-   texts are read once and lost executors cost little).
-2. Counts of those n-grams over the whole corpus pick the seeds: of each window of 13 words of an item the rarest n-gram.
-   Every shared passage of 13 words holds the seed of its window, so none is lost, and what is common leads nowhere.
-3. Seeds join neighbourhoods to items, and Smith-Waterman alignment scores each pair: copies edited or paraphrased too.
+   words in a row may be five words in a row of some item, by a bitmap of fixed size, the neighbourhood is kept as word ids
+   (checkpointed, so that the texts are read once and lost executors cost little). The scan is one however many items.
+2. Counts of those n-grams over the whole corpus pick the seeds: of each window of 13 words of an item the rarest of the
+   n-grams that the corpus has, several where they are as rare. A neighbourhood meets an item if they share a seed, or any
+   different n-grams in EVIDENCE stretches of the item: copies edited all over are met although their edits break the rarest n-grams,
+   and a common turn of phrase alone leads nowhere.
+3. Smith-Waterman alignment scores each pair that meets, and its score tells what the pair is: a literal passage, an edited
+   or paraphrased copy, or a likeness by chance.
 
-The items are the fixed side: their words and n-grams are broadcast, in blocks of BLOCK_WORDS words, however many they are.
+Items are the stated query set. Up to ITEM_CHARS characters they are broadcast; beyond, n-grams and items meet neighbourhoods by
+shuffled joins whose hot keys are salted, with the same result.
 """
 
 from __future__ import annotations
@@ -19,28 +23,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from scriptorium.session import ready, spread
+from scriptorium.operators.tables import salted_join
+from scriptorium.session import ready, shuffle_partitions, spread
 
 #: Words of a seed, words of a passage that counts as leaked.
 SEED, PASSAGE = 5, 13
+#: Stretches of PASSAGE words of an item, each with a shared n-gram of its own that isn't a seed, by which a neighbourhood meets it.
+EVIDENCE = 3
 #: Words kept on either side of matching n-grams for the alignment.
 MARGIN = 24
 #: Smith-Waterman scores for words.
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Words of items that are handled at once; bounds what is broadcast (about 30 MB).
-BLOCK_WORDS = 1_000_000
-#: Texts that are searched at once.
-SLICE = 1_000
+#: Score of a passage of PASSAGE equal words: from there on a pair is no likeness by chance.
+COPY_SCORE = MATCH * PASSAGE
+#: Most characters of items that are broadcast (about 30 MB as words and n-grams).
+ITEM_CHARS = 6_000_000
+#: Bits of the bitmap, as a power of two, for items that are broadcast and for more: 2 MB and 32 MB.
+FEW_BITS, MANY_BITS = 24, 28
+#: Stands for a null key where keys are joined.
+NO_KEY = "\0"
+#: Texts that are searched at once, word ids kept per worker (then the cache starts anew).
+SLICE, CACHE = 1_000, 400_000
 
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
 _INVISIBLE = re.compile("[­͏᠎​-‏‪-‮⁠-⁤﻿]+")
 _LINE_MARK = re.compile(r"(?m)^[ \t>*#+\-–•|]*(?:\d{1,3}[.)](?=\s))?")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑](?:[ \t]*\r?\n[ \t]*)?(?=[^\W\d_])")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑][ \t]*\r?\n[ \t>*#|]*(?=[^\W\d_])")
-_TAG = re.compile(r"<(/?)(\w+)[^<>]{0,300}>")
+#: A short tag of any content, or one of any length that is made of attributes with values.
+_TAG = re.compile(r"""<(/?)(\w+)(?:[^<>]{0,300}|(?:\s+[\w:@.\-]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))+\s*/?)>""")
 _LINK = re.compile(r"\]\([^()\s]*\)|https?://\S+")
 _APOSTROPHE = re.compile(r"(?<=\w)['’ʼ‘`´](?=\w)")
 _INLINE = {"a", "b", "i", "u", "em", "strong", "span", "sup", "sub", "small", "mark", "font", "tt", "code", "q", "cite"}
@@ -69,36 +84,42 @@ def passage_words(text: str) -> list[str]:
     return _WORD.findall(text.casefold() if not text.isascii() else text.lower())
 
 
-def _grams(ids: np.ndarray, n: int = SEED) -> np.ndarray:
+_ids: dict[str, int] = {}
+
+
+def word_ids(words: list[str]) -> np.ndarray:
+    """64-bit ids of words, the same on every machine."""
+    get = _ids.get
+    out = [get(w) for w in words]
+    if None in out:
+        if len(_ids) > CACHE:
+            _ids.clear()
+        for i, x in enumerate(out):
+            if x is None:
+                out[i] = _ids[words[i]] = xxhash.xxh3_64_intdigest(words[i].encode("utf-8", "surrogatepass"))
+    return np.array(out, np.uint64)
+
+
+def grams(ids: np.ndarray, n: int = SEED) -> np.ndarray:
     """A 64-bit key of every n words in a row."""
     if len(ids) < n:
         return np.zeros(0, np.uint64)
     key = np.zeros(len(ids) - n + 1, np.uint64)
     for k in range(n):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - n + 1 + k].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        key = key * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - n + 1 + k] * np.uint64(0xC2B2AE3D27D4EB4F)
         key ^= key >> np.uint64(29)
     return key
 
 
-class Items:
-    """Words and n-grams of a block of items."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.words: dict[str, int] = {}
-        self.ids: dict[int, np.ndarray] = {}
-        for item, text in rows:
-            self.ids[item] = np.array([self.words.setdefault(w, len(self.words) + 1) for w in passage_words(text)], np.int32)
-        keys = [_grams(x) for x in self.ids.values()]
-        self.grams = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-
-    def seeds(self, counts: dict[int, int]) -> list[tuple[int, int]]:
-        """(n-gram, item): of each window of PASSAGE words the n-gram that the corpus has least often."""
-        out = set()
-        for item, ids in self.ids.items():
-            slots = np.searchsorted(self.grams, _grams(ids))
-            for at in range(len(ids) - PASSAGE + 1):
-                out.add((int(min(slots[at : at + PASSAGE - SEED + 1], key=lambda s: (counts.get(int(s), 0), s))), item))
-        return sorted(out)
+def rarest(counts: np.ndarray) -> np.ndarray:
+    """Which n-grams of an item are seeds, by their counts in the corpus: the least above 0 in some window of PASSAGE words."""
+    size = PASSAGE - SEED + 1
+    if len(counts) < size:
+        return np.zeros(len(counts), bool)
+    n = np.where(counts > 0, counts, np.inf)
+    least = np.lib.stride_tricks.sliding_window_view(n, size).min(axis=1)
+    around = np.concatenate([np.full(size - 1, -np.inf), least, np.full(size - 1, -np.inf)])
+    return np.isfinite(n) & (np.lib.stride_tricks.sliding_window_view(around, size).max(axis=1) >= n)
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -117,84 +138,145 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, longest
 
 
-def _neighbourhoods(docs: DataFrame, key: str, text: str, items) -> DataFrame:
-    """k, ids (words around matching n-grams, 0 for words no item has), grams (slots of the n-grams found there)."""
+def _signed(x: np.ndarray) -> list[int]:
+    return x.view(np.int64).tolist()
+
+
+def _item_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        ids = [word_ids(passage_words(t)) for t in batch["t"]]
+        yield pd.DataFrame({"own": batch["own"], "item_id": batch["item_id"], "ids": [_signed(x) for x in ids], "grams": [_signed(grams(x)) for x in ids]})
+
+
+def _filled(keys: np.ndarray) -> np.ndarray:
+    """Bits of a few n-grams."""
+    bits = np.zeros(1 << FEW_BITS, bool)
+    bits[(keys >> np.uint64(64 - FEW_BITS)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def _bitmap(items: DataFrame) -> np.ndarray:
+    """Bits of all n-grams of the items, made on the executors; its size doesn't depend on their number."""
+    slot = F.shiftrightunsigned("g", 64 - MANY_BITS) + 1
+    parts = items.select(F.explode("grams").alias("g")).select(slot.alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("m"))
+    out = np.zeros(1 << MANY_BITS >> 3, np.uint8)
+    for r in parts.toLocalIterator():
+        m = np.frombuffer(bytes(r["m"]), np.uint8)
+        out[(r["b"] - 1) * len(m) : r["b"] * len(m)] = m
+    return out
+
+
+def _neighbourhoods(docs: DataFrame, key: str, text: str, bitmap, bits: int, exact) -> DataFrame:
+    """k, part, ids (words around matching n-grams), grams (the n-grams found there, each once)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        it: Items = items.value
-        get, grams = it.words.get, it.grams
+        filled, shift = bitmap.value, np.uint64(64 - bits)
+        known = None if exact is None else exact.value
         for batch in batches:
             for at in range(0, len(batch), SLICE):
                 part, out = batch.iloc[at : at + SLICE], []
                 for k, t in zip(part["k"], part["t"], strict=True):
                     if not t:
                         continue
-                    ids = np.fromiter((get(w, 0) for w in passage_words(t)), np.int32)
-                    if len(ids) < SEED or not len(grams):
-                        continue
-                    known = np.concatenate([[0], np.cumsum(ids > 0)])
-                    full = np.flatnonzero(known[SEED:] - known[:-SEED] == SEED)
-                    if not len(full):
-                        continue
-                    keys = _grams(ids)[full]
-                    slot = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
-                    hit = grams[slot] == keys
-                    places, slot = full[hit], slot[hit]
+                    ids = word_ids(passage_words(t))
+                    keys = grams(ids)
+                    slot = (keys >> shift).astype(np.int64)
+                    places = np.flatnonzero(filled[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                    if known is not None and len(places):
+                        found = np.minimum(np.searchsorted(known, keys[places]), len(known) - 1)
+                        places = places[known[found] == keys[places]]
                     if not len(places):
                         continue
-                    cuts = np.flatnonzero(np.diff(places) > 2 * MARGIN) + 1
-                    for p, s in zip(np.split(places, cuts), np.split(slot, cuts), strict=True):
-                        out.append((k, ids[max(0, p[0] - MARGIN) : p[-1] + SEED + MARGIN].tolist(), s.astype(np.int32).tolist()))
+                    for p in np.split(places, np.flatnonzero(np.diff(places) > 2 * MARGIN) + 1):
+                        near = ids[max(0, p[0] - MARGIN) : p[-1] + SEED + MARGIN]
+                        out.append((k, int(p[0]), _signed(near), _signed(np.unique(keys[p]))))
                 if out:
-                    yield pd.DataFrame(out, columns=["k", "ids", "grams"])
+                    yield pd.DataFrame(out, columns=["k", "part", "ids", "grams"])
 
     rows = spread(docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")))  # as strings, large ids survive beside nulls
-    return rows.mapInPandas(run, "k string, ids array<int>, grams array<int>")
+    return rows.mapInPandas(run, "k string, part long, ids array<long>, grams array<long>")
 
 
-def _block(docs: DataFrame, block: list[tuple[int, str]], key: str, text: str) -> DataFrame:
-    spark = docs.sparkSession
-    it = Items(block)
-    shared = spark.sparkContext.broadcast(it)
-    near = _neighbourhoods(docs, key, text, shared).checkpoint()
-    counts = near.select(F.explode("grams").alias("g")).groupBy("g").count().toPandas()  # at most the items' own n-grams
-    seeds = it.seeds(dict(zip(counts["g"].tolist(), counts["count"].tolist(), strict=True)))
-    by_seed: dict[int, list[int]] = {}
-    for g, item in seeds:
-        by_seed.setdefault(g, []).append(item)
-    seed_items = spark.sparkContext.broadcast(by_seed)
+_SCORED = "k string, item_id long, score int, run int"
+
+
+def _by_broadcast(near: DataFrame, items: list[Row]) -> DataFrame:
+    """Scores of what meets, with the items' words and seeds in every worker."""
+    counts = dict(near.select(F.explode("grams").alias("g")).groupBy("g").count().toPandas().itertuples(index=False, name=None))  # at most the items' own n-grams
+    of: dict[int, dict[int, int]] = {}  # n-gram -> item -> bits: whether it is a seed, stretch where it stands first
+    for i, r in enumerate(items):
+        for pos, (g, seed) in enumerate(zip(r["grams"], rarest(np.array([counts.get(g, 0) for g in r["grams"]])), strict=True)):
+            if g in counts:
+                at = of.setdefault(g, {})
+                at[i] = at.get(i, 2 << pos // PASSAGE) | int(seed)
+    shared = near.sparkSession.sparkContext.broadcast((of, [(r["item_id"], np.array(r["ids"], np.int64)) for r in items]))
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, of = shared.value, seed_items.value
+        of, own = shared.value
         for batch in batches:
             out = []
-            for k, ids, grams in zip(batch["k"], batch["ids"], batch["grams"], strict=True):
-                for item in sorted({i for g in grams for i in of.get(int(g), ())}):
-                    out.append((k, item, *smith_waterman(np.asarray(ids), own.ids[item])))
+            for k, ids, found in zip(batch["k"], batch["ids"], batch["grams"], strict=True):
+                shown: dict[int, int] = {}
+                for g in found.tolist():
+                    for i, bits in of.get(g, {}).items():
+                        shown[i] = shown.get(i, 0) | bits
+                for i in sorted(i for i, bits in shown.items() if bits & 1 or bits.bit_count() >= EVIDENCE):
+                    out.append((k, own[i][0], *smith_waterman(np.asarray(ids), own[i][1])))
             yield pd.DataFrame(out, columns=["k", "item_id", "score", "run"])
 
-    return near.mapInPandas(align, "k string, item_id long, score int, run int")
+    return near.mapInPandas(align, _SCORED)
+
+
+def _by_join(near: DataFrame, items: DataFrame) -> DataFrame:
+    """The same by joins on n-gram and item, for items of any number."""
+    c = F.col
+    near = near.withColumn("k", F.coalesce("k", F.lit(NO_KEY)))
+    counts = near.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    own = items.where(F.size("ids") >= PASSAGE).select("own", F.posexplode("grams").alias("pos", "g")).join(counts, "g", "left").fillna(0, ["n"])
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:  # the n-grams of one item
+        rows = rows.sort_values("pos")
+        seeds = rows.assign(seed=rarest(rows["n"].to_numpy()), stretch=rows["pos"] // PASSAGE)[rows["n"].to_numpy() > 0]
+        return seeds.groupby(["g", "own"], as_index=False).agg({"stretch": "min", "seed": "max"})
+
+    seeds = own.groupBy("own").applyInPandas(choose, "g long, own long, stretch int, seed boolean")
+    met = salted_join(near.select("k", "part", F.explode("grams").alias("g")), seeds, "g", ["k", "part"])
+    met = met.groupBy("k", "part", "own").agg(F.max("seed").alias("seed"), F.size(F.collect_set("stretch")).alias("stretches"))
+    met = met.where(c("seed") | (c("stretches") >= EVIDENCE)).select("k", "part", "own").checkpoint()
+    pairs = met.join(near.select("k", "part", "ids"), ["k", "part"])
+    pairs = salted_join(pairs, items.select("own", "item_id", c("ids").alias("item_words")), "own", ["k", "part"], hot=met)
+
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            scores = [smith_waterman(np.asarray(x), np.asarray(y)) for x, y in zip(b["ids"], b["item_words"], strict=True)]
+            yield pd.DataFrame({"k": b["k"], "item_id": b["item_id"], "score": [s for s, _ in scores], "run": [r for _, r in scores]})
+
+    return pairs.select("k", "item_id", "ids", "item_words").repartition(shuffle_partitions(near.sparkSession)).mapInPandas(align, _SCORED).withColumn("k", F.nullif("k", F.lit(NO_KEY)))
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """`key`, item_id, score (best Smith-Waterman score of a passage) and run (longest passage of equal words).
+    """`key`, item_id, score (best Smith-Waterman score of a passage), run (longest passage of equal words) and kind.
 
-    One row for each document and item that share a rare seed; run >= 13 is a literal leak, a high score with a shorter
-    run an edited copy. Null and empty texts on either side, items shorter than 13 words and an empty side give no rows;
-    repeated rows count once. A passage that a third of all documents share costs each document one lookup.
+    One row for each document and item that meet (see above). kind is `literal` for PASSAGE equal words in a row, `edited`
+    for another alignment that scores as much, else `chance`. Null and empty texts on either side, items shorter than 13
+    words and an empty side give no rows; repeated rows count once; of an item with several texts the best counts. Texts
+    are taken whole. A passage that a third of all documents share costs each document one lookup.
     """
+    c = F.col
     ready(docs.sparkSession)
-    rows = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
-    out, block, held = None, [], 0
-
-    def add(frame: DataFrame) -> DataFrame:
-        return frame if out is None else out.unionByName(frame)
-
-    for r in rows.orderBy("i").toLocalIterator():  # the stated query set, block by block
-        block.append((r["i"], r["t"]))
-        held += len(r["t"].split())
-        if held >= BLOCK_WORDS:
-            out, block, held = add(_block(docs, block, key, text)), [], 0
-    if block or out is None:
-        out = add(_block(docs, block, key, text))
-    return out.groupBy(F.col("k").cast(docs.schema[key].dataType).alias(key), "item_id").agg(F.max("score").alias("score"), F.max("run").alias("run"))
+    sc = docs.sparkSession.sparkContext
+    rows = items.where(c(item_text).isNotNull()).select(c(item_key).cast("long").alias("item_id"), c(item_text).alias("t")).distinct()
+    rows = rows.select(F.xxhash64("item_id", "t").alias("own"), "item_id", "t")
+    known = rows.mapInPandas(_item_words, "own long, item_id long, ids array<long>, grams array<long>")
+    if (rows.agg(F.sum(F.length("t"))).first()[0] or 0) <= ITEM_CHARS:
+        held = known.collect()
+        exact = np.unique(np.array([g for r in held for g in r["grams"]], np.int64).view(np.uint64))
+        near = _neighbourhoods(docs, key, text, sc.broadcast(_filled(exact)), FEW_BITS, sc.broadcast(exact)).checkpoint()
+        out = _by_broadcast(near, held)
+    else:
+        known = known.checkpoint()
+        near = _neighbourhoods(docs, key, text, sc.broadcast(_bitmap(known)), MANY_BITS, None).checkpoint()
+        out = _by_join(near, known)
+    out = out.groupBy(c("k").cast(docs.schema[key].dataType).alias(key), "item_id").agg(F.max("score").alias("score"), F.max("run").alias("run"))
+    kind = F.when((c("score") >= COPY_SCORE) & (c("run") >= PASSAGE), "literal").when(c("score") >= COPY_SCORE, "edited").otherwise("chance")
+    return out.withColumn("kind", kind)

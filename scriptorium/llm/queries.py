@@ -66,13 +66,13 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and evaluation items that share a rare seed, with the alignment score and the longest equal passage."""
+    """Documents and evaluation items that meet by rare seeds, with the alignment score, the longest equal passage and what the pair is."""
     return leak.leaks(table(ready(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items of which they hold at least 13 words in a row."""
-    return p8_scores(spark, sf_dir).where(f"run >= {leak.PASSAGE}").select("doc_id", "item_id")
+    return p8_scores(spark, sf_dir).where("kind = 'literal'").select("doc_id", "item_id")
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
