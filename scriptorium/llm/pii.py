@@ -1,9 +1,11 @@
 """Personal information in free text (problem 1): a skip-chain conditional random field.
 
-Tokens near anything that could be personal (digits, at signs, names of the lexicon, titles, street words) form the field.
-Neighbours share transition potentials, and equal words of a text share skip potentials however far apart they are.
-Loopy max-product message passing over all texts of a batch at once finds the labels. The weights were trained here, by
-pseudo-likelihood, on sentences made by pii_train.py; the lexicon of names is made from all rows of the column of names.
+Tokens near anything that could be personal (digits, at signs, names of the lexicon, titles, street words) form the field,
+and with them every other token that is similar to a family name or a long number among them. Neighbours share transition
+potentials, and similar tokens of a text share skip potentials however far apart they are: a family name that stands alone
+after the full one, and a number whose kind is said only once, get their label from the distant place. Loopy max-product
+message passing over all texts of a batch at once finds the labels. The weights were trained here, by pseudo-likelihood, on
+sentences made by pii_train.py; the lexicon of names is made from all rows of the column of names.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import functools
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +29,10 @@ LABELS = ("O", "email", "phone", "id_number", "address", "name")
 ROUNDS, DAMPING = 8, 0.2
 #: Texts that are labelled at once.
 SLICE = 1_000
-#: Tokens around a candidate that belong to the field.
-AROUND = 4
+#: Tokens around a candidate, and around a distant token that is similar to one, that belong to the field.
+AROUND, AROUND_SIMILAR = 4, 2
+#: Letters of a word and digits of a number from which on similar ones share potentials.
+LEAST_LETTERS, LEAST_DIGITS = 4, 4
 
 #: Word lists.
 TITLES = set("mr mrs ms miss mx dr rev reverend prof professor sister brother father mother elder pastor sir lady dame herr frau madame mme monsieur señor señora sr sra don doña deacon bishop rabbi canon".split())
@@ -37,7 +42,7 @@ NO_NAMES = set("choir chapel circle group voices voice speaker speakers panel co
 STREETS = "road rd street st lane ln avenue ave close terrace way drive dr court ct square sq place pl row crescent gardens grove hill park boulevard blvd highway mews".split()
 STREETS_BEFORE = "rue calle via rua avenida plaza place chemin allée impasse camino carrer ulitsa улица ул".split()
 PHONE_WORDS = set("tel telephone phone call ring mob mobile cell number text fax whatsapp rückruf telefon téléphone appel teléfono llamar telefone ext dial handy unter".split())
-ID_WORDS = set("ssn social security passport licence license dni national id tax ni nino identity identification personal insurance steuer ausweis reisepass pasaporte passeport cpf nif nie aadhaar pan driver drivers".split())
+ID_WORDS = set("ssn social security passport licence license dni national id tax ni nino identity identification personal insurance steuer ausweis reisepass pasaporte passeport cpf nif nie aadhaar pan".split())
 TRAP_WORDS = set("isbn issn catalogue catalog shelf mark ms manuscript hymn hymns psalm verse verses chapter version grid map order copies attendance folio page pages fragments edition vol volume item sku outline".split())
 ADDRESS_WORDS = set("lives live address visit post return meeting moves pick pick-up up at flat apt apartment suite wohnt adresse vive dirección unit box".split())
 DIGIT_WORDS = "zero oh one two three four five six seven eight nine double triple".split()
@@ -182,6 +187,22 @@ def _patterns(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+_POSSESSIVE = re.compile(r"['’]s?$")
+_DOUBLED = re.compile(r"(.)\1+")
+
+
+@functools.lru_cache(100_000)
+def similar(tok: str) -> str | None:
+    """What similar tokens have in common: words without case, accents, doubled letters and possessive endings, numbers as
+    they are; None for short tokens and signs."""
+    if tok[0].isdigit():
+        return tok if len(tok) >= LEAST_DIGITS else None
+    if len(tok) < LEAST_LETTERS or not tok[0].isalpha():
+        return None
+    t = unicodedata.normalize("NFD", _POSSESSIVE.sub("", tok.casefold()))
+    return _DOUBLED.sub(r"\1", "".join(c for c in t if not unicodedata.combining(c)))
+
+
 _NAME_HINT = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Rev|Prof|MR|MRS|DR|REV|PROF|Herr|Frau)\b\.?\s+[^\W\d_]")
 
 
@@ -239,6 +260,14 @@ def field_of(text: str | None, names: Names) -> Field | None:
                     mark(i, k + 1, "name.titled")
     if not active.any():
         return None
+    shared = set()
+    for (t, _, _), own, kind in zip(toks, flags, kinds, strict=True):
+        if own and (kind in "FC" and any(x.startswith("name") for x in own) or kind == "d" and any(x.startswith(("phone", "id")) for x in own)):
+            shared.add(similar(t))
+    shared.discard(None)
+    for i, (t, _, _) in enumerate(toks) if shared else ():
+        if not active[i] and similar(t) in shared:
+            active[max(0, i - AROUND_SIMILAR) : i + 1 + AROUND_SIMILAR] = True
     chosen = np.flatnonzero(active[: len(toks)])
     features, breaks = [], []
     last = -9
@@ -285,7 +314,7 @@ def _context(toks: list[tuple[str, int, int]], i: int) -> list[str]:
 
 
 class Model:
-    """Weights: feature x label, chain and skip potentials."""
+    """Weights: feature x label, chain potentials, and skip potentials of words and of numbers."""
 
     def __init__(self, features: dict[str, int], weights: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.features, self.weights, self.chain, self.skip = features, weights, chain, skip
@@ -294,13 +323,18 @@ class Model:
     def load(cls, path: str | None = None) -> Model:
         return _load(path or os.path.join(os.path.dirname(__file__), "models", "pii_crf.json"))
 
-    def graph(self, fields: list[Field]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Emission scores of all tokens of all fields, chain edges and skip edges."""
+    def graph(self, fields: list[Field]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Emission scores of all tokens of all fields, chain edges, skip edges of words and of numbers.
+
+        A token is joined to the similar one before it and to the first one with the form of personal data, so that what is
+        said once reaches all others; edges grow linearly with the tokens.
+        """
         rows, cols, n = [], [], 0
-        chain, skip = [], []
+        chain, skips = [], ([], [])
         index = self.features
         for f in fields:
             seen: dict[str, int] = {}
+            formed: dict[str, int] = {}
             for k, ((tok, _, _), fs) in enumerate(zip(f.tokens, f.features, strict=True)):
                 for x in fs:
                     c = index.get(x)
@@ -309,27 +343,28 @@ class Model:
                         cols.append(c)
                 if k and not f.breaks[k]:
                     chain.append((n - 1, n))
-                if len(tok) > 3 and tok[0].isalpha():
-                    low = tok.lower()
-                    if low in seen and n - seen[low] > 1:
-                        skip.append((seen[low], n))
-                    seen[low] = n
+                if (key := similar(tok)) is not None:
+                    before = {x for x in (seen.get(key), formed.get(key)) if x is not None and n - x > 1}
+                    skips[tok[0].isdigit()].extend((x, n) for x in sorted(before))
+                    seen[key] = n
+                    if "p=none" not in fs:
+                        formed.setdefault(key, n)
                 n += 1
         scores = np.zeros((n, len(LABELS)))
         if rows:
             np.add.at(scores, np.array(rows), self.weights[np.array(cols)])
-        return scores, np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
+        return scores, *[np.array(x, np.int64).reshape(-1, 2) for x in (chain, *skips)]
 
     def labels(self, fields: list[Field]) -> list[np.ndarray]:
         """Labels of the tokens of each field by loopy max-product message passing."""
-        scores, chain, skip = self.graph(fields)
+        scores, *kinds = self.graph(fields)
         if not len(scores):
             return [np.zeros(0, np.int64) for _ in fields]
-        edges = np.concatenate([chain, skip])
+        edges = np.concatenate(kinds)
         belief = scores
         if len(edges):
             u, v = edges[:, 0], edges[:, 1]
-            pot = np.where((np.arange(len(edges)) < len(chain))[:, None, None], self.chain, self.skip)
+            pot = np.repeat(np.stack([self.chain, *self.skip]), [len(x) for x in kinds], axis=0)
             right, left = np.zeros((len(edges), len(LABELS))), np.zeros((len(edges), len(LABELS)))
             for _ in range(ROUNDS):
                 belief = scores.copy()
@@ -376,13 +411,16 @@ def spans_of(text: str, field: Field, labels: np.ndarray) -> list[tuple[int, int
             run.append(i)
     if run:
         close()
-    return [s for s in out if _holds(text[s[0] : s[1]], s[2])]
+    people = {similar(w) for a, b, kind in out if kind == "name" and len(ws := _WORDS.findall(text[a:b])) >= 2 for w in ws} - {None}
+    return [s for s in out if _holds(text[s[0] : s[1]], s[2], people)]
 
 
-def _holds(piece: str, kind: str) -> bool:
-    """The exact check after the field: a name has two parts, numbers have digits, addresses have e-mail signs."""
+def _holds(piece: str, kind: str, people: set[str]) -> bool:
+    """The exact check after the field: a name has two parts or is part of one that has, numbers have digits, e-mail
+    addresses their signs."""
     if kind == "name":
-        return len([w for w in _WORDS.findall(piece)]) >= 2
+        words = _WORDS.findall(piece)
+        return len(words) >= 2 or any(similar(w) in people for w in words)
     if kind in ("phone", "id_number"):
         return sum(c.isdigit() for c in piece) >= 6 or _PHONES["spelled"].search(piece) is not None
     if kind == "email":
