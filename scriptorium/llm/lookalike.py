@@ -2,9 +2,14 @@
 
 Words of a language that hold nothing but its regular characters form its vocabulary, counted over the whole corpus. Every
 suspicious word (look-alikes of other scripts, compatibility forms, combining sequences, invisible characters) walks the
-vocabulary's trie with a weighted edit automaton: look-alikes and ignorables cost nothing, other edits cost 1. The most
-frequent word within MAX_COST is its canonical spelling; words without one are put right by table. Words and vocabulary
-meet in partitions of language and first letters, so no vocabulary is broadcast or collected.
+vocabulary's trie with a weighted edit automaton: look-alikes and ignorables cost nothing, a letter of another script (or a
+digit) that no table knows costs ODD in the place of a letter, any other edit EDIT. The cheapest, then most frequent word
+within MAX_COST is its canonical spelling: up to two unknown letters are read from the vocabulary, while other words and
+inflected forms are never changed into each other. Words without a canonical spelling are put right by table.
+
+Words and vocabulary meet in partitions of language and first letters, as many letters as it takes until no partition holds
+a large part of the vocabulary; words with unknown letters there meet it by their last letters, in a trie of words read
+backwards. No vocabulary is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -20,8 +25,12 @@ from pyspark.sql import functions as F
 
 from scriptorium.session import ready, shuffle_partitions
 
-#: Highest cost of a canonical spelling: 0 allows look-alikes, ignorables and composition only.
-MAX_COST = 0.0
+#: Highest cost of a canonical spelling; cost of a letter that no table knows for a letter, and of any other edit.
+MAX_COST, ODD, EDIT = 1.0, 0.5, 2.0
+#: Letters of the keys under which words and vocabulary meet, tried in turn; then the whole signature is the key.
+KEY_LETTERS = (2, 4, 8, 16)
+#: A key is split if it has more than 1 / (KEY_PARTS * shuffle partitions) of the vocabulary, and at least KEY_WORDS words.
+KEY_PARTS, KEY_WORDS = 4, 2_000
 
 #: Letters that look like a Latin letter, from the public confusables data of Unicode.
 LOOKALIKES = {
@@ -170,16 +179,35 @@ def guessed_languages(words: DataFrame, group: str, column: str) -> DataFrame:
     return counts.select(group, F.when(most > 0, lang).alias("lang"))
 
 
+def odd(c: str, home: str) -> bool:
+    """Digits, and letters of other scripts that look like none of the home script by table."""
+    return c.isdigit() or script(c) not in ("", home) and in_script(c, home) == c and PROTOTYPE.get(c, c) == c
+
+
+def letters_of(word: str) -> str:
+    """What the automaton reads: plain forms, decomposed, without ignorables."""
+    return "".join(c for c in unicodedata.normalize("NFD", "".join(plain_form(x) for x in word)) if not ignorable(c))
+
+
+def key_of(text: str, split: frozenset[str]) -> str:
+    """The shortest beginning of a signature that isn't split further."""
+    for n in KEY_LETTERS:
+        if len(text) <= n or text[:n] not in split:
+            return text[:n]
+    return text
+
+
 class Trie:
-    """Vocabulary of decomposed words; each end holds the most frequent spelling."""
+    """Vocabulary of decomposed words, read forwards or backwards; each end holds the most frequent spelling."""
 
-    def __init__(self):
+    def __init__(self, home: str = "LATIN", back: bool = False):
+        self.home, self.step = home, -1 if back else 1
         self.next: list[dict[str, int]] = [{}]
         self.word: list[tuple[int, str] | None] = [None]
 
     def add(self, word: str, n: int) -> None:
         at = 0
-        for c in unicodedata.normalize("NFD", word):
+        for c in unicodedata.normalize("NFD", word)[:: self.step]:
             if ignorable(c):
                 continue
             if c not in self.next[at]:
@@ -194,18 +222,17 @@ class Trie:
         """Cheapest, then most frequent word of the vocabulary within the cost `most`."""
         states = {0: 0.0}
         self._skip(states, most)
-        for c in unicodedata.normalize("NFD", "".join(plain_form(x) for x in word)):
-            if ignorable(c):
-                continue  # stays where it is, at no cost
+        for c in letters_of(word)[:: self.step]:
             now: dict[int, float] = {}
             proto = PROTOTYPE.get(c, c)
+            other = ODD if odd(c, self.home) else EDIT
             for at, cost in states.items():
                 for x, to in self.next[at].items():
-                    price = cost + (0.0 if x == c or PROTOTYPE.get(x, x) == proto else 1.0)
+                    price = cost + (0.0 if x == c or PROTOTYPE.get(x, x) == proto else other if x.isalpha() else EDIT)
                     if price <= most and price < now.get(to, 9e9):
                         now[to] = price
-                if cost + 1 <= most and cost + 1 < now.get(at, 9e9):
-                    now[at] = cost + 1
+                if cost + EDIT <= most and cost + EDIT < now.get(at, 9e9):
+                    now[at] = cost + EDIT
             states = now
             self._skip(states, most)
             if not states:
@@ -214,14 +241,14 @@ class Trie:
         return min(ends)[2] if ends else None
 
     def _skip(self, states: dict[int, float], most: float) -> None:
-        """Letters of the vocabulary that the word leaves out, at a cost of 1 each."""
-        if most < 1:
+        """Letters of the vocabulary that the word leaves out, at the cost of an edit each."""
+        if most < EDIT:
             return
         queue = list(states)
         for at in queue:
             for to in self.next[at].values():
-                if states[at] + 1 <= most and states[at] + 1 < states.get(to, 9e9):
-                    states[to] = states[at] + 1
+                if states[at] + EDIT <= most and states[at] + EDIT < states.get(to, 9e9):
+                    states[to] = states[at] + EDIT
                     queue.append(to)
 
 
@@ -257,24 +284,46 @@ def _vocabulary_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     for batch in batches:
         parts = batch.assign(word=[_WORD.findall(w) for w in batch["word"]]).explode("word").dropna(subset=["word"])
         good = parts[[judge(w, h) == "regular" for w, h in zip(parts["word"], parts["home"], strict=True)]]
-        yield good.assign(key=[signature(w)[:2] for w in good["word"]])
+        yield good.assign(sig=[signature(w) for w in good["word"]])
+
+
+_MET = "home string, lang string, back boolean, key string, word string, n long"
+
+
+def _asked(word: str, home: str, split: frozenset[str]) -> tuple[bool, str] | None:
+    """Where a word meets the vocabulary: by its first letters, by its last, or nowhere if both hold unknown letters."""
+    sig = signature(word)
+    for back in (False, True):
+        text = sig[::-1] if back else sig
+        key = key_of(text, split)
+        if not any(odd(c, home) for c in key):
+            return back, key
+    return None
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of (home, lang, key, seen): vocabulary first, then the words to look up."""
+    """Rows in order of (home, lang, back, key, n): vocabulary first, then the words to look up."""
     at, trie = None, Trie()
     for batch in batches:
         out = []
-        for home, lang, key, word, n in zip(batch["home"], batch["lang"], batch["key"], batch["word"], batch["n"], strict=True):
-            if (home, lang, key) != at:
-                at, trie = (home, lang, key), Trie()
+        for home, lang, back, key, word, n in zip(*[batch[x.split()[0]] for x in _MET.split(", ")], strict=True):
+            if (home, lang, back, key) != at:
+                at, trie = (home, lang, back, key), Trie(home, back)
             if n > 0:
                 trie.add(word, n)
-            elif (found := trie.canonical(word)) is not None and found != word:
+            elif (found := trie.canonical(word, MAX_COST if judge(word, home) == "irregular" else 0.0)) is not None and found != word:
                 out.append((home, lang, word, found))
         yield pd.DataFrame(out, columns=["home", "lang", "word", "canonical"])
 
 
+def _split_keys(vocabulary: DataFrame, parts: int) -> frozenset[str]:
+    """Beginnings of signatures, forwards and backwards, that hold too much of the vocabulary: at most KEY_PARTS * parts of each length."""
+    starts = F.array(*[F.left(x, F.lit(n)) for x in (F.col("sig"), F.reverse("sig")) for n in KEY_LETTERS])
+    counts = vocabulary.select("home", "lang", F.explode(F.array_distinct(starts)).alias("key")).groupBy("home", "lang", "key").agg(F.count(F.lit(1)).alias("n"))
+    least = max(KEY_WORDS, vocabulary.count() // (KEY_PARTS * parts))
+    return frozenset(r["key"] for r in counts.where(f"n > {least}").select("key").distinct().collect())
+
+
 def normalized(rows: DataFrame, words: DataFrame) -> DataFrame:
     """tbl, row_key, text, normal of every row whose text changes; each row_key once.
 
@@ -290,10 +339,24 @@ def normalized(rows: DataFrame, words: DataFrame) -> DataFrame:
     scanned = src.mapInPandas(_scan, "tbl string, row_key string, lang string, text string, home string, words array<string>").dropDuplicates(["tbl", "row_key"]).checkpoint()
     counts = words.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "word").agg(F.count(F.lit(1)).alias("n"))
     home = F.coalesce(own, F.lit("LATIN"))
-    vocabulary = counts.withColumn("home", home).mapInPandas(_vocabulary_words, "lang string, word string, n long, home string, key string")
-    wanted = scanned.select("home", "lang", F.explode("words").alias("word")).distinct()
-    asked = wanted.mapInPandas(lambda it: (b.assign(n=-1, key=[signature(w)[:2] for w in b["word"]]) for b in it), "home string, lang string, word string, n long, key string")
-    both = vocabulary.unionByName(asked).repartition(parts, "home", "lang", "key").sortWithinPartitions("home", "lang", "key", c("n").desc())
+    vocabulary = counts.withColumn("home", home).mapInPandas(_vocabulary_words, "lang string, word string, n long, home string, sig string").checkpoint()
+    split = rows.sparkSession.sparkContext.broadcast(_split_keys(vocabulary, parts))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = [(h, lang, *m, w, -1) for h, lang, w in zip(b["home"], b["lang"], b["word"], strict=True) if (m := _asked(w, h, split.value)) is not None]
+            yield pd.DataFrame(at, columns=["home", "lang", "back", "key", "word", "n"])
+
+    def offer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for back in (False, True):
+                keys = [key_of(x[::-1] if back else x, split.value) for x in b["sig"]]
+                yield b.assign(back=back, key=keys)[["home", "lang", "back", "key", "word", "n"]]
+
+    asked = scanned.select("home", "lang", F.explode("words").alias("word")).distinct().mapInPandas(ask, _MET).checkpoint()
+    wanted = asked.select("home", "lang", "back", "key").distinct()
+    offered = vocabulary.mapInPandas(offer, _MET).join(wanted, ["home", "lang", "back", "key"], "left_semi")  # only what someone asks for
+    both = offered.select(*asked.columns).unionByName(asked).repartition(parts, "home", "lang", "back", "key").sortWithinPartitions("home", "lang", "back", "key", c("n").desc())
     spelled = both.mapInPandas(_walk, "home string, lang string, word string, canonical string")
     pairs = scanned.select("tbl", "row_key", "home", "lang", F.explode("words").alias("word")).join(spelled, ["home", "lang", "word"]).groupBy("tbl", "row_key").agg(F.collect_list(F.struct("word", "canonical")).alias("spelled"))
 

@@ -30,8 +30,8 @@ def p2_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens, verses, translations = (table(ready(spark), sf_dir, t) for t in ("tokens", "verses", "translations"))
     c = F.col
     known = translations.groupBy(c("id").alias("translation_id")).agg(F.min("language").alias("lang"))
-    others = tokens.join(F.broadcast(known.select("translation_id")), "translation_id", "left_anti")
-    languages = F.broadcast(known.unionByName(lookalike.guessed_languages(others, "translation_id", "surface")))  # a row per translation
+    others = tokens.join(known.select("translation_id"), "translation_id", "left_anti")
+    languages = known.unionByName(lookalike.guessed_languages(others, "translation_id", "surface"))  # a row per translation: small ones are broadcast by size at run time
     own = tokens.join(languages, "translation_id", "left").select(F.lit("tokens").alias("tbl"), c("token_id").cast("string").alias("row_key"), "lang", c("surface").alias("text"))
     whole = verses.join(languages, "translation_id", "left").select(F.lit("verses").alias("tbl"), F.concat_ws(":", c("translation_id").cast("string"), "verse_id").alias("row_key"), "lang", "text")
     spoken = whole.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}\p{N}]+(?:['\u2019\-][\p{L}\p{M}\p{N}]+)*)"), F.lit(1))).alias("word"))
