@@ -57,7 +57,7 @@ def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_turns(spark, sf_dir).select("doc_id", "first_span_id", "last_span_id")
+    return turns.speaker_turns(table(ready(spark), sf_dir, "spans"), texts=False).select("doc_id", "first_span_id", "last_span_id")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
