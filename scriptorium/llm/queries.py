@@ -11,6 +11,15 @@ from scriptorium.llm import encode, leak, lookalike, mojibake, pii, spam, turns
 from scriptorium.session import ready, table
 
 
+#: Most rows of a side that is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """The rows with a hint to broadcast them, if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields with personal data: the kinds they hold and their text with placeholders."""
     notes, documents, extractions = (table(ready(spark), sf_dir, t) for t in ("notes", "documents", "extractions"))
@@ -30,8 +39,8 @@ def p2_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens, verses, translations = (table(ready(spark), sf_dir, t) for t in ("tokens", "verses", "translations"))
     c = F.col
     known = translations.groupBy(c("id").alias("translation_id")).agg(F.min("language").alias("lang"))
-    others = tokens.join(known.select("translation_id"), "translation_id", "left_anti")
-    languages = known.unionByName(lookalike.guessed_languages(others, "translation_id", "surface"))  # a row per translation: small ones are broadcast by size at run time
+    others = tokens.join(_small(known).select("translation_id"), "translation_id", "left_anti")
+    languages = _small(known.unionByName(lookalike.guessed_languages(others, "translation_id", "surface")).checkpoint())  # a row per translation
     own = tokens.join(languages, "translation_id", "left").select(F.lit("tokens").alias("tbl"), c("token_id").cast("string").alias("row_key"), "lang", c("surface").alias("text"))
     whole = verses.join(languages, "translation_id", "left").select(F.lit("verses").alias("tbl"), F.concat_ws(":", c("translation_id").cast("string"), "verse_id").alias("row_key"), "lang", "text")
     spoken = whole.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}\p{N}]+(?:['\u2019\-][\p{L}\p{M}\p{N}]+)*)"), F.lit(1))).alias("word"))
