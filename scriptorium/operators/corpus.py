@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import strip_space, verse_id
+from scriptorium.functions.text import tokens as text_tokens
 from scriptorium.operators.tables import number_rows
 
 
@@ -64,3 +66,21 @@ def pack_status(registry: DataFrame, translations: DataFrame, verses: DataFrame)
     counts = verses.groupBy("translation_id").agg(F.count(F.lit(1)).alias("n"))
     own = translations.select("abbrev", F.col("id").alias("translation_id")).join(counts, "translation_id", "left")
     return registry.join(own, "abbrev", "left").select("abbrev", (F.coalesce("n", F.lit(0)) > 0).alias("installed"), F.coalesce("n", F.lit(0)).alias("verse_count"))
+
+
+def word_offsets(verses: DataFrame) -> DataFrame:
+    """translation_id, verse_id, idx, char_start, char_end of each word, from the texts: running numbers and sums of lengths."""
+    return text_tokens(verses, ["translation_id", "verse_id"], "text").drop("surface")
+
+
+def import_pack(verses: DataFrame, tokens: DataFrame, books: DataFrame, pack: DataFrame, translation_id: int) -> tuple[DataFrame, DataFrame]:
+    """Verses and tokens after an import: those of the translation are cleared, then the pack's come in, in canonical order.
+
+    pack: book_osis, chapter, verse, text. Texts are trimmed, null ones are empty; a verse that comes twice counts once; books
+    that aren't known are left out. Both results can be written as partitions of the translation alone.
+    """
+    new = pack.select(F.lit(translation_id).cast("long").alias("translation_id"), verse_id(F.col("book_osis"), F.col("chapter"), F.col("verse")).alias("verse_id"), "book_osis", "chapter", "verse", F.coalesce(strip_space(F.col("text")), F.lit("")).alias("text"))
+    numbered = canonical_order(new.dropDuplicates(["verse_id"]), books).withColumnRenamed("running", "canonical_order")
+    words = text_tokens(numbered, ["translation_id", "verse_id"], "text")
+    other = F.col("translation_id") != translation_id
+    return verses.where(other).select(*numbered.columns).unionByName(numbered), tokens.where(other).select(*words.columns).unionByName(words)

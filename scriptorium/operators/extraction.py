@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.operators.tables import number_rows
+from scriptorium.functions.text import strip_space
+from scriptorium.operators.tables import next_ids, number_rows, replace_group
 
 #: Lines closer than this share of the page are one line; lines per batch of second readings; doubt below.
 LINE, BATCH, DOUBTFUL = 0.02, 8, 0.75
@@ -79,13 +80,48 @@ def label_speakers(segments: DataFrame, turns: DataFrame, keys: list[str], segme
     return segments.join(best, [*keys, segment_key], "left")
 
 
-def merge_readings(spans: DataFrame, readings: DataFrame) -> DataFrame:
+def text_layer(pages: DataFrame) -> DataFrame:
+    """doc_id, text, confidence, error of documents by their pages (doc_id, page_no, text): pages that aren't blank, in order.
+
+    The confidence goes by characters per page, blank pages included; a document without any text has an error.
+    """
+    own = pages.withColumn("text", strip_space(F.col("text"))).groupBy("doc_id").agg(
+        F.expr("listagg(CASE WHEN text <> '' THEN text END, '\n\n') WITHIN GROUP (ORDER BY page_no)").alias("text"), F.count(F.lit(1)).alias("n")
+    )
+    some = F.length("text") > 0
+    return own.select("doc_id", F.when(some, F.col("text")).alias("text"), F.when(some, page_confidence(F.length("text") / F.col("n"))).alias("confidence"), F.when(~F.coalesce(some, F.lit(False)), "no text layer").alias("error"))
+
+
+def preferred_turns(turns: DataFrame, exclusive: DataFrame, key: str) -> DataFrame:
+    """Turns of each recording, from the exclusive table where that has any of it."""
+    return turns.join(exclusive.select(key).distinct(), key, "left_anti").unionByName(exclusive)
+
+
+def merge_readings(spans: DataFrame, readings: DataFrame, keys: list[str]) -> DataFrame:
     """Second readings: text of those that aren't blank with an unknown confidence; else the old text, doubtful."""
     got = F.col("reading").isNotNull() & (F.trim("reading") != "")
-    joined = spans.join(readings.select("doc_id", "idx", "reading"), ["doc_id", "idx"], "left")
+    joined = spans.join(readings.select(*keys, "reading"), keys, "left").withColumn("read", got)
     return joined.withColumn("confidence", F.when(got, F.lit(None).cast("double")).otherwise(F.lit(0.0))).withColumn("text", F.when(got, F.col("reading")).otherwise(F.col("text"))).drop("reading")
 
 
+def second_reading(merged: DataFrame, engine: Column) -> DataFrame:
+    """doc_id, text, engine, error of documents after merge_readings: built anew by idx; an error where no line was read."""
+    own = merged.groupBy("doc_id").agg(F.bool_or("read").alias("any"), F.expr("listagg(CASE WHEN trim(text) <> '' THEN text END, '\n') WITHIN GROUP (ORDER BY idx, span_id)").alias("text"), engine.alias("engine"))
+    return own.select("doc_id", F.when(F.col("any"), F.col("text")).alias("text"), F.when(F.col("any"), F.concat("engine", F.lit("+second"))).alias("engine"), F.when(~F.col("any"), "no line was read").alias("error"))
+
+
+def store_reading(pages: DataFrame, spans: DataFrame, new_pages: DataFrame, new_spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages and spans after documents were read again: those of the documents go, the new ones come with new ids.
+
+    new_pages: doc_id, page_no and what pages have; new_spans: doc_id, page_no, idx and what spans have. Spans find the id of
+    their page by document and number; a span of no page, as in a recording, has none.
+    """
+    made = next_ids(new_pages, pages, "page_id", ["doc_id", "page_no"]).checkpoint()
+    placed = new_spans.join(made.select("doc_id", "page_no", "page_id"), ["doc_id", "page_no"], "left").drop("page_no")
+    numbered = next_ids(placed, spans, "span_id", ["doc_id", "page_id", "idx"])
+    return replace_group(pages, made.select(*pages.columns), ["doc_id"]), replace_group(spans, numbered.select(*spans.columns), ["doc_id"])
+
+
 def crop_box(margin: float = 0.004) -> list[Column]:
     """Box with a margin in pixels, clamped to the page; an error without a box."""
     x, y, w, h, width, height = (F.col(c) for c in ("x", "y", "w", "h", "width", "height"))

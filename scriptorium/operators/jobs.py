@@ -11,6 +11,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import decode_confidence
+from scriptorium.operators import tables
+from scriptorium.operators.tables import number_rows
+
 #: Seconds of a lease, attempts before a job is given up.
 LEASE_S, MAX_ATTEMPTS = 120, 3
 
@@ -63,6 +67,25 @@ def changed(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFram
     return after.join(b, "job_id").where(differs).select("job_id")
 
 
+def queue_places(jobs: DataFrame) -> DataFrame:
+    """Place of each waiting job in the whole queue: numbered per day, plus the jobs of the days before."""
+    waiting = jobs.where("state = 'UPLOADED' AND claimed_at IS NULL").withColumn("__day", F.to_date("created_at"))
+    return number_rows(waiting, [], ["__day"], ["created_at", "job_id"], "place").drop("__day")
+
+
+def store_results(jobs: DataFrame, extractions: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Jobs and extractions after a round of readers. results: job_id, text, engine, confidence, error; a row a job.
+
+    A job with an error keeps its extraction and gets state ERROR and the message. Else the extraction of the job is replaced;
+    its confidence is the least of the reader's and of what the text's lost characters leave; marks of checks are reset.
+    """
+    c = F.col
+    r = results.dropDuplicates(["job_id"])
+    failed = r.where("error IS NOT NULL").select("job_id", c("error").alias("last_error"), F.lit("ERROR").alias("state"))
+    good = r.where("error IS NULL").select("job_id", "text", "engine", F.least(F.coalesce("confidence", F.lit(1.0)), decode_confidence(c("text"))).alias("confidence"), F.lit(False).alias("verified"), F.lit(False).alias("edited"))
+    return tables.update(jobs, failed, "job_id", ["last_error", "state"]), tables.update(extractions, good, "job_id", ["text", "engine", "confidence", "verified", "edited"])
+
+
 def claim_order(jobs: DataFrame) -> DataFrame:
     """Place of each waiting job per day of arrival; days are small, the queue need not be."""
     waiting = jobs.where("state = 'UPLOADED' AND claimed_at IS NULL").withColumn("day", F.to_date("created_at"))

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot if it has more than 1 / (HOT_PARTS * shuffle partitions) of all references and at least HOT_ROWS.
+#: The HOT_PARTS * shuffle partitions most frequent keys are hot, if they have at least HOT_ROWS references.
 HOT_PARTS, HOT_ROWS = 4, 20_000
 
 
@@ -65,9 +65,8 @@ def orphans(refs: list[Reference], partitions: int | None = None) -> DataFrame:
     spark = children.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = children.groupBy("ref_name", "key").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {HOT_ROWS}")
-    total = children.agg(F.count(F.lit(1)).alias("total"))
-    hot = counts.join(F.broadcast(total), F.col("n") * (HOT_PARTS * parts) > F.col("total")).select("ref_name", "key", F.lit(True).alias("hot"))
-    hot = spark.createDataFrame(hot.collect(), hot.schema)  # at most HOT_PARTS * parts rows
+    hot = counts.orderBy(F.desc("n"), "ref_name", "key").limit(HOT_PARTS * parts).select("ref_name", "key", F.lit(True).alias("hot"))
+    hot = spark.createDataFrame(hot.collect(), hot.schema)
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("row_key"), F.lit(parts))).otherwise(F.lit(0)).cast("int")
     left = children.join(F.broadcast(hot), ["ref_name", "key"], "left").withColumn("salt", salt).drop("hot")
     valid = parents.groupBy("ref_name", "key").agg(F.min("created").alias("created"), F.min("deleted").alias("deleted"), F.max("gone").alias("gone"))

@@ -49,9 +49,16 @@ def null_references(table: DataFrame, column: str, gone: DataFrame, key: str) ->
 
 
 def next_ids(new: DataFrame, table: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Ids for new rows: the table's largest plus a running number; new rows are one change, not a table."""
+    """Ids for new rows: the table's largest plus a running number in a total order; sorted by ranges, numbered per range."""
     top = table.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
-    return new.withColumn(key, F.lit(top) + F.row_number().over(Window.orderBy(*order)))
+    ranges = new.orderBy(*order).withColumn("__range", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    return number_rows(ranges, [], ["__range"], ["__at"], "__number").withColumn(key, F.lit(top) + F.col("__number")).drop("__range", "__at", "__number")
+
+
+def upsert_latest(table: DataFrame, new: DataFrame, key: str, time: list[str]) -> DataFrame:
+    """The last writer of a key wins: of several new rows the latest, and that one over the table's; columns as in the table."""
+    last = new.groupBy(key).agg(F.max_by(F.struct(*table.columns), F.struct(*time)).alias("__row")).select("__row.*")
+    return upsert(table, last, [key])
 
 
 def number_rows(rows: DataFrame, group: list[str], blocks: list[str], order: list[str], name: str) -> DataFrame:

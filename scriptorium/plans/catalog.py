@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.plans import data_queries, study_queries
+from scriptorium.plans import data_queries, pipeline_queries, study_queries  # noqa: F401 (pipeline_queries adds to the study queries)
 
 _PARTS = (study_queries, data_queries)
 

@@ -96,12 +96,6 @@ def src_asr(s):
     return s.some("spans", "start_s IS NOT NULL AND trim(text) <> ''").select("doc_id", "idx", F.trim("text").alias("text"), "confidence", "start_s", "end_s")
 
 
-@query("SELECT page_id, image_path FROM pg WHERE page_id = (SELECT max(page_id) FROM pages)", "pg")
-def src_page_bytes(s):
-    """The image of one page (a point lookup; its bytes are a binaryFile scan of the path)."""
-    return s.some("pages", c("page_id") == s.pages.agg(F.max("page_id")).first()[0]).select("page_id", "image_path")
-
-
 @query(f"SELECT translation_id, verse_id, CAST(count(*) OVER (PARTITION BY translation_id ORDER BY b.canonical_order, chapter, verse, verse_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM v JOIN books b ON b.osis = book_osis", "v", "books")
 def win_canonical_order(s):
     return C.canonical_order(s.verses, s.books).select("translation_id", "verse_id", c("running").cast("long").alias("running"))
@@ -136,14 +130,6 @@ def snk_progress(s):
     return per.select("translation_id", "book_osis", "verses", F.sum("verses").over(Window.partitionBy("translation_id").orderBy("canonical_order")).alias("so_far"))
 
 
-@query("SELECT translation_id, verse_id, text FROM v WHERE translation_id <> 1 UNION ALL SELECT 1, book_osis || '.' || chapter || '.' || verse, trim(text) FROM v WHERE translation_id = 2", "v")
-def snk_import_pack(s):
-    """Translation 1 is cleared and filled with the verses of translation 2."""
-    new = s.some("verses", "translation_id = 2").select(F.lit(1).cast("long").alias("translation_id"), T.verse_id(c("book_osis"), c("chapter"), c("verse")).alias("verse_id"), F.trim("text").alias("text"))
-    old = s.verses.select("translation_id", "verse_id", "text")
-    return old.where("translation_id <> 1").unionByName(new)
-
-
 @query("SELECT doc_id, sha256(text) AS digest, left(sha256(text), 12) || '-' || regexp_replace(regexp_replace(filename, '[^\\p{L}\\p{N}._\\- ]', '_', 'g'), '^[. ]+|[. ]+$', '', 'g') AS stored_name FROM d WHERE text IS NOT NULL AND text <> ''", "d")
 def snk_store_upload(s):
     """Digest and stored name of uploads; empty ones are refused."""
@@ -410,12 +396,6 @@ def rec_label_speakers_safe(s):
     return X.label_speakers(segments, _turns(s), ["doc_id"], "span_id").groupBy("doc_id").agg(F.bool_or(c("label").isNotNull()).alias("labelled"))
 
 
-@query("WITH " + _TURNS + " SELECT doc_id, who, ts AS turn_start, te AS turn_end FROM tn", "sp")
-def src_diarization_turns(s):
-    """Turns per recording; where an exclusive annotation exists it would be preferred by coalesce of the two tables."""
-    return _turns(s).select("doc_id", c("turn_speaker").alias("who"), "turn_start", "turn_end")
-
-
 @query("SELECT d.doc_id, d.stored_path FROM d WHERE d.doc_id NOT IN (SELECT doc_id FROM jobs WHERE doc_id IS NOT NULL)", "d")
 def join_delete_orphans(s):
     """Stored files that no job refers to any more."""
@@ -487,12 +467,6 @@ def prj_reference_anchor(s):
     return p.select("k", F.when(c("book").isNotNull(), T.verse_id(c("book"), c("chapter"), F.coalesce("verse", F.lit(1)))).alias("anchor"))
 
 
-@query("SELECT osis AS typed, osis FROM books", "books")
-def join_reference_book(s):
-    """Every book found by its own code."""
-    return R.match_books(s.books.select(c("osis").alias("typed")), "typed", s.books).select("typed", "osis")
-
-
 @query("SELECT osis, lower(osis) AS q FROM books", "books")
 def str_normalize_ref(s):
     return s.books.select("osis", T.normalize_reference(c("osis")).alias("q"))
@@ -729,11 +703,6 @@ def agg_import_totals(s):
 # ------------------------------------------------------------------ order
 
 
-@query("SELECT translation_id, verse_id, idx, char_start, char_end FROM tok", "tok")
-def win_token_idx_offsets(s):
-    return s.tokens.select("translation_id", "verse_id", "idx", "char_start", "char_end")
-
-
 @query("WITH bc AS (SELECT b.osis, b.canonical_order, max(v.chapter) AS cc FROM books b JOIN verses v ON v.book_osis = b.osis GROUP BY ALL), ch AS (SELECT osis, canonical_order, unnest(generate_series(1, cc)) AS chapter FROM bc) SELECT osis, chapter, lag(osis || '.' || chapter) OVER w AS previous, lead(osis || '.' || chapter) OVER w AS following FROM ch WINDOW w AS (ORDER BY canonical_order, chapter)", "books")
 def win_prev_next_chapter(s):
     return C.neighbours(_counted_books(s))
@@ -749,17 +718,6 @@ def win_pdf_renumber(s):
     return X.renumber(s.spans.join(s.pages.select("page_id", "page_no"), "page_id")).select("span_id", "position")
 
 
-@query("SELECT span_id, position FROM (SELECT s.span_id, CAST(row_number() OVER (PARTITION BY s.doc_id ORDER BY p.page_no, s.idx, s.span_id) - 1 AS BIGINT) AS position FROM sp s JOIN pg p ON p.page_id = s.page_id WHERE trim(s.text) <> '')", "sp", "pg")
-def src_ocr_pdf(s):
-    """Recognised lines of scanned pages, numbered across pages; recognition itself happens elsewhere."""
-    return X.renumber(s.some("spans", "trim(text) <> ''").join(s.pages.select("page_id", "page_no"), "page_id")).select("span_id", "position")
-
-
-@query("SELECT job_id, CAST(row_number() OVER (ORDER BY created_at, job_id) AS BIGINT) AS place FROM j WHERE state = 'UPLOADED'  AND claimed_at IS NULL QUALIFY place <= 1", "j")
-def win_claim_rank(s):
-    return s.some("jobs", "state = 'UPLOADED' AND claimed_at IS NULL").orderBy("created_at", "job_id").limit(1).select("job_id", F.lit(1).cast("long").alias("place"))
-
-
 @query("SELECT span_id, batch, CAST(min(idx) OVER (PARTITION BY doc_id, page_id, batch) AS BIGINT) AS first_idx FROM (SELECT *, CAST((row_number() OVER (PARTITION BY doc_id, page_id ORDER BY idx, span_id) - 1) // 8 AS BIGINT) AS batch FROM sp WHERE page_id IS NOT NULL)", "sp")
 def win_cloud_batches(s):
     return X.batches(s.some("spans", "page_id IS NOT NULL")).select("span_id", c("batch").cast("long").alias("batch"), "first_idx")
@@ -776,44 +734,44 @@ def win_default_translation(s):
     return C.installed(s.translations, s.table("verses")).orderBy(c("id") != ACTIVE, "abbrev").limit(1).select("abbrev")
 
 
-@query(f"SELECT note_id, {_STAMP.format('created_at')} AS created_at FROM n", "n")
+@query(f"SELECT note_id, {_STAMP.format('created_at')} AS created_at FROM n ORDER BY n.created_at, note_id", "n")
 def sort_notes_oldest(s):
     return s.notes.orderBy("created_at", "note_id").select("note_id", stamp("created_at"))
 
 
-@query("SELECT job_id, state FROM j", "j")
+@query("SELECT job_id, state FROM j ORDER BY created_at DESC, job_id DESC", "j")
 def sort_jobs(s):
     return s.jobs.orderBy(c("created_at").desc(), c("job_id").desc()).select("job_id", "state")
 
 
-@query("SELECT page_id, doc_id, page_no FROM pg", "pg")
+@query("SELECT page_id, doc_id, page_no FROM pg ORDER BY doc_id, page_no, page_id", "pg")
 def sort_pages(s):
-    return s.pages.orderBy("doc_id", "page_no").select("page_id", "doc_id", "page_no")
+    return s.pages.orderBy("doc_id", "page_no", "page_id").select("page_id", "doc_id", "page_no")
 
 
-@query("SELECT span_id, doc_id, idx FROM sp", "sp")
+@query("SELECT span_id, doc_id, idx FROM sp ORDER BY doc_id, idx, span_id", "sp")
 def sort_spans(s):
     return s.spans.orderBy("doc_id", "idx", "span_id").select("span_id", "doc_id", "idx")
 
 
-@query("SELECT osis FROM books", "books")
+@query("SELECT osis FROM books ORDER BY canonical_order", "books")
 def sort_books(s):
     return s.books.orderBy("canonical_order").select("osis")
 
 
-@query("SELECT abbrev FROM t", "t")
+@query("SELECT abbrev FROM t ORDER BY abbrev", "t")
 def sort_translations(s):
     return s.translations.orderBy("abbrev").select("abbrev")
 
 
-@query(f"SELECT verse_id FROM v WHERE translation_id = 1 AND book_osis = {_BOOK}", "v")
+@query("SELECT translation_id, verse_id FROM v ORDER BY translation_id, book_osis, chapter, verse, verse_id", "v")
 def sort_verses(s):
-    return s.some("verses", (c("translation_id") == ACTIVE) & (c("book_osis") == s.book)).orderBy("chapter", "verse").select("verse_id")
+    return s.verses.orderBy("translation_id", "book_osis", "chapter", "verse", "verse_id").select("translation_id", "verse_id")
 
 
-@query("SELECT token_id FROM tok WHERE translation_id = 1", "tok")
+@query("SELECT token_id FROM tok ORDER BY translation_id, verse_id, idx, token_id", "tok")
 def sort_tokens(s):
-    return s.some("tokens", c("translation_id") == ACTIVE).orderBy("verse_id", "idx").select("token_id")
+    return s.tokens.orderBy("translation_id", "verse_id", "idx", "token_id").select("token_id")
 
 
 # ------------------------------------------------------------------ sets and changes of tables
@@ -825,17 +783,6 @@ def set_insert_or_ignore(s):
     return M.insert_or_ignore(s.translations.select("id", "abbrev"), new, ["id"])
 
 
-@query("SELECT * FROM (VALUES ('active_translation', 'B'), ('last_read', 'Gen.1'), ('worker', 'on')) AS q(key, value)")
-def set_upsert_setting(s):
-    old = s.spark.createDataFrame([("active_translation", "A"), ("last_read", "Gen.1")], "key string, value string")
-    return M.upsert(old, s.spark.createDataFrame([("active_translation", "B"), ("worker", "on")], "key string, value string"), ["key"])
-
-
-@query("SELECT * FROM (VALUES ('last_read', 'Gen.1')) AS q(key, value)")
-def kv_get_setting(s):
-    return s.spark.createDataFrame([("active_translation", "A"), ("last_read", "Gen.1")], "key string, value string").where("key = 'last_read'")
-
-
 @query("SELECT extraction_id, job_id, text, CASE WHEN job_id % 2 = 0 THEN 'again' ELSE engine END AS engine, CASE WHEN job_id % 2 = 0 THEN false ELSE verified END AS verified, CASE WHEN job_id % 2 = 0 THEN false ELSE edited END AS edited FROM x", "x")
 def set_upsert_extraction(s):
     """A new reading replaces engine and text and resets the flags; id and time of creation stay."""
@@ -876,12 +823,6 @@ def mut_set_note_anchor(s):
     return M.replace_group(s.anchors.select("id", "note_id", "verse_id"), new, ["note_id"])
 
 
-@query("SELECT verse_id, max(id) AS id FROM h WHERE anchor_type = 'verse' GROUP BY verse_id", "h")
-def mut_set_highlight(s):
-    """One highlight per verse: the last one set stays."""
-    return s.highlights.where("anchor_type = 'verse'").groupBy("verse_id").agg(F.max_by("id", "id").alias("id"))
-
-
 @query(f"SELECT id FROM h WHERE NOT starts_with(verse_id, {_BOOK} || '.')", "h")
 def mut_clear_highlight(s):
     gone = s.highlights.where(T.in_book(c("verse_id"), s.book)).select("anchor_type", "verse_id", "translation_id", "token_idx").distinct()
@@ -900,13 +841,6 @@ def mut_clear_text(s):
     return M.delete(s.tokens, gone, ["translation_id"]).agg(F.count(F.lit(1)).alias("tokens"))
 
 
-@query("SELECT span_id, doc_id, text FROM sp WHERE doc_id NOT IN (SELECT doc_id FROM jobs WHERE state = 'ERROR') UNION ALL SELECT DISTINCT -doc_id, doc_id, 'read again' FROM jobs WHERE state = 'ERROR'", "sp")
-def mut_store_extraction(s):
-    """Spans of documents that were read again are replaced as a whole."""
-    new = s.some("jobs", "state = 'ERROR'").select("doc_id").distinct().select((-c("doc_id")).alias("span_id"), "doc_id", F.lit("read again").alias("text"))
-    return M.replace_group(s.spans.select("span_id", "doc_id", "text"), new, ["doc_id"])
-
-
 @query("SELECT span_id, CASE WHEN text LIKE '%mercy%' THEN replace(text, 'mercy', 'grace') ELSE text END AS text, text LIKE '%mercy%' OR edited AS edited FROM sp", "sp")
 def mut_save_span_verification(s):
     """Texts of spans are corrected; a span whose text differs stays marked as edited."""
@@ -914,12 +848,6 @@ def mut_save_span_verification(s):
     return s.spans.select("span_id", new.alias("text"), ((new != c("text")) | c("edited")).alias("edited"))
 
 
-@query("SELECT d.stored_path, count(*) AS documents FROM d GROUP BY d.stored_path", "d")
-def mut_delete_job(s):
-    """Documents per stored file: a file may go only with the last of them."""
-    return s.documents.groupBy("stored_path").agg(F.count(F.lit(1)).alias("documents"))
-
-
 _GONE = """WITH gj AS (SELECT * FROM j WHERE job_id % 3 = 0 AND doc_id IS NOT NULL), gd AS (SELECT DISTINCT doc_id FROM gj WHERE note_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM n WHERE doc_id IS NOT NULL)),
   lj AS (SELECT * FROM j WHERE job_id NOT IN (SELECT job_id FROM gj) AND (doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM gd))), ld AS (SELECT * FROM d WHERE doc_id NOT IN (SELECT doc_id FROM gd)),
   lp AS (SELECT * FROM pg WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM gd)), paths AS (SELECT stored_path AS path FROM d WHERE doc_id IN (SELECT doc_id FROM gd) UNION SELECT image_path FROM pg WHERE doc_id IN (SELECT doc_id FROM gd)) """
@@ -930,7 +858,7 @@ _GONE = """WITH gj AS (SELECT * FROM j WHERE job_id % 3 = 0 AND doc_id IS NOT NU
   UNION ALL SELECT 'extractions', CAST(extraction_id AS VARCHAR) FROM x WHERE job_id IS NULL OR job_id NOT IN (SELECT job_id FROM j) OR job_id IN (SELECT job_id FROM lj)
   UNION ALL SELECT 'paths', path FROM paths WHERE path IS NOT NULL
   UNION ALL SELECT 'free_paths', path FROM paths WHERE path IS NOT NULL AND path NOT IN (SELECT stored_path FROM ld WHERE stored_path IS NOT NULL) AND path NOT IN (SELECT image_path FROM lp WHERE image_path IS NOT NULL)""", "j", "n", "d", "pg", "sp", "x")
-def mut_delete_job_cascade(s):
+def mut_delete_job(s):
     """Every third job is deleted: what is left of each table, and the paths that went."""
     left = J.delete_jobs(s.some("jobs", "job_id % 3 = 0").select("job_id"), s.jobs, s.notes, s.documents, s.pages, s.spans, s.extractions)
     keys = {"jobs": "job_id", "documents": "doc_id", "pages": "page_id", "spans": "span_id", "extractions": "extraction_id", "paths": "path", "free_paths": "path"}
@@ -941,7 +869,7 @@ _ANCHOR = ["anchor_type", "verse_id", "translation_id", "token_idx"]
 
 
 @query("WITH new AS (SELECT -max(id) AS id, anchor_type, verse_id, translation_id, token_idx, 'set again' AS color FROM h WHERE id % 5 = 0 GROUP BY ALL), old AS (SELECT id, anchor_type, verse_id, translation_id, token_idx, color FROM h) SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.anchor_type = old.anchor_type AND new.verse_id = old.verse_id AND new.translation_id IS NOT DISTINCT FROM old.translation_id AND new.token_idx IS NOT DISTINCT FROM old.token_idx) UNION ALL SELECT * FROM new", "h")
-def mut_set_highlight_anchor(s):
+def mut_set_highlight(s):
     """Highlights of verses and words are set again: what stood at their anchors goes, the new ones are inserted."""
     old = s.highlights.select("id", *_ANCHOR, "color")
     new = s.highlights.where("id % 5 = 0").groupBy(*_ANCHOR).agg((-F.max("id")).alias("id")).select("id", *_ANCHOR, F.lit("set again").alias("color"))
@@ -983,13 +911,6 @@ def math_pdf_conf(s):
     return s.documents.where("n_chars IS NOT NULL").select("doc_id", X.page_confidence(c("n_chars") / 4).alias("c"))
 
 
-@query("SELECT doc_id, CASE WHEN k >= 200 THEN 1.0 ELSE greatest(0.3, k / 200) END AS confidence FROM (SELECT doc_id, n_chars / greatest(1, n_chars // 1000) AS k FROM d WHERE n_chars IS NOT NULL AND n_chars > 0)", "d")
-def src_pdf_text(s):
-    """Confidence of a text layer by its characters per page (pages of 1000 characters here; the reader is in sources)."""
-    k = c("n_chars") / F.greatest(F.lit(1), F.expr("n_chars div 1000"))
-    return s.documents.where("n_chars IS NOT NULL AND n_chars > 0").select("doc_id", X.page_confidence(k).alias("confidence"))
-
-
 @query("SELECT x.extraction_id, least(coalesce(x.confidence, 1.0), CASE WHEN length(x.text) = 0 THEN 0.0 ELSE greatest(0, 1 - 10 * (length(x.text) - length(replace(x.text, '�', ''))) / length(x.text)) END) AS confidence FROM x WHERE text IS NOT NULL", "x")
 def math_combined_conf(s):
     return s.some("extractions", "text IS NOT NULL").select("extraction_id", F.least(F.coalesce("confidence", F.lit(1.0)), T.decode_confidence(c("text"))).alias("confidence"))
@@ -1024,12 +945,6 @@ def arr_pages_spans(s):
     return s.pages.select("page_id", "doc_id", "page_no").join(own, "page_id", "left").withColumn("spans", F.array_join(F.coalesce("spans", F.expr("cast(array() as array<bigint>)")).cast("array<string>"), ","))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def json_book(s):
-    """Numbers in JSON, whether written as numbers or as strings."""
-    return s.events.select("event_id", F.from_json("props", "k string")["k"].try_cast("long").alias("k"))
-
-
 @query("SELECT abbrev, CAST(1 AS BIGINT) AS engines FROM t UNION ALL SELECT * FROM (VALUES ('a', 0), ('b', 0), ('c', 0))", "t")
 def json_engines(s):
     """Reports as JSON lists; what isn't a list, is malformed or lacks a field counts as an empty list."""
@@ -1043,16 +958,6 @@ def json_engines(s):
 _READINGS = "SELECT span_id, CASE WHEN idx % 3 <> 0 THEN '+ ' || text ELSE text END AS text, CASE WHEN idx % 3 <> 0 THEN NULL ELSE CAST(0.0 AS DOUBLE) END AS confidence FROM sp WHERE page_id IS NOT NULL"
 
 
-@query(_READINGS, "sp")
-def rec_cloud_merge(s):
-    """Second readings of scanned lines (here marked; every third one blank)."""
-    spans = s.some("spans", "page_id IS NOT NULL").select("span_id", "doc_id", "idx", "text", "confidence")
-    readings = spans.select("doc_id", "idx", F.when(c("idx") % 3 != 0, F.concat(F.lit("+ "), "text")).otherwise("").alias("reading"), "span_id")
-    got = F.trim("reading") != ""
-    merged = spans.join(readings.select("span_id", "reading"), "span_id", "left")
-    return merged.select("span_id", F.when(got, c("reading")).otherwise(c("text")).alias("text"), F.when(got, F.lit(None).cast("double")).otherwise(F.lit(0.0)).alias("confidence"))
-
-
 @query("SELECT span_id, '+ ' || text AS reading FROM sp WHERE page_id IS NOT NULL", "sp")
 def json_cloud_readings(s):
     """Answers as JSON lines, parsed and checked."""
@@ -1120,19 +1025,6 @@ def ing_set_state(s):
     return J.set_fields(s.jobs, s.some("jobs", "note_id IS NOT NULL"), state="DONE").select("job_id", "state")
 
 
-@query("SELECT * FROM (VALUES ('worker_engines', '[]'), ('worker_heartbeat', '2024-01-01 00:00:05')) AS q(key, value)")
-def op_heartbeat(s):
-    old = s.spark.createDataFrame([("worker_heartbeat", "2024-01-01 00:00:03")], "key string, value string")
-    return M.upsert(old, s.spark.createDataFrame([("worker_heartbeat", "2024-01-01 00:00:05"), ("worker_engines", "[]")], "key string, value string"), ["key"])
-
-
-@query("SELECT '2024-01-01 00:00:05' AS heartbeat, CAST(0 AS BIGINT) AS engines")
-def op_worker_status(s):
-    """The settings of a worker as one row; whether its process lives is not a matter of data."""
-    one = op_heartbeat(s).groupBy().agg(F.max(F.when(c("key") == "worker_heartbeat", c("value"))).alias("heartbeat"), F.max(F.when(c("key") == "worker_engines", c("value"))).alias("e"))
-    return one.select("heartbeat", F.size(F.from_json("e", "array<string>")).cast("long").alias("engines"))
-
-
 @query("SELECT translation_id, verse_id, string_agg(surface, ' ' ORDER BY idx, surface, char_start) AS words FROM tok GROUP BY translation_id, verse_id", "tok")
 def arr_tokens(s):
     own = s.tokens.groupBy("translation_id", "verse_id").agg(F.sort_array(F.collect_list(F.struct("idx", "surface", "char_start"))).alias("t"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ready(spark: SparkSession) -> SparkSession:
     """Make the package importable in Python workers and make sure that checkpoints have a folder.
 
-    The folder is the cluster's own (spark.checkpoint.dir); only where none is set, as in local tests, a folder below
-    the temporary directory is used.
+    The folder is the cluster's own (spark.checkpoint.dir). Only in local mode, as in tests, a temporary folder is made where
+    none is set; it goes when the process ends. On a cluster without the setting this fails: a folder of one machine wouldn't do.
     """
     sc = spark.sparkContext
     path = sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
@@ -27,10 +30,20 @@ def ready(spark: SparkSession) -> SparkSession:
         sc.environment["PYTHONPATH"] = f"{ROOT}:{path}".rstrip(":")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "scriptorium-checkpoints"))
+        if not shared:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+            shared = tempfile.mkdtemp(prefix="scriptorium-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        sc.setCheckpointDir(shared)
     return spark
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for staged files, below that of the checkpoints, where all machines see it."""
+    return f"{ready(spark).sparkContext._jsc.sc().getCheckpointDir().get()}/staged-{uuid.uuid4().hex}"
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """The rows over all cores, if they come in fewer partitions (a small table in one file); else unchanged.
 
@@ -55,6 +68,7 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SCRIPTORIUM_DRIVER_MEMORY", "8g"))

@@ -24,12 +24,24 @@ def counts_by_window(events: DataFrame, time: str, kind: str, width: str = "1 da
     return windows.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
-def enqueue(stream: DataFrame, store: Store, checkpoint: str, worker: str, now: Callable[[], object], key: str = "job_id") -> StreamingQuery:
-    """Jobs that arrive are added once (a batch that is delivered again adds nothing), then the worker makes a round."""
+def enqueue_batch(store: Store, mark: str, worker: str, now: Callable[[], object], key: str = "job_id") -> Callable[[DataFrame, int], None]:
+    """What happens to a batch: its jobs are added once, then the worker makes a round; only new and changed rows are written.
+
+    The number of the batch is part of the commit: a batch that is delivered again neither adds jobs nor leases any.
+    """
 
-    def batch(new: DataFrame, _: int) -> None:
+    def batch(new: DataFrame, number: int) -> None:
+        last = store.mark(mark)
+        if last is not None and number <= last:
+            return
         jobs = store.read("jobs") if store.version("jobs") else new.limit(0)
-        added = tables.insert_or_ignore(jobs, new, [key])
-        store.commit({"jobs": J.tick(added, worker, now())})
+        after = J.tick(tables.insert_or_ignore(jobs, new, [key]), worker, now())
+        store.append("jobs", after.subtract(jobs.select(*after.columns)), key, {mark: number})
+
+    return batch
 
+
+def enqueue(stream: DataFrame, store: Store, checkpoint: str, worker: str, now: Callable[[], object], key: str = "job_id") -> StreamingQuery:
+    """Jobs that arrive are added to the queue, batch by batch; batches are numbered per checkpoint folder."""
+    batch = enqueue_batch(store, f"enqueue:{checkpoint}", worker, now, key)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

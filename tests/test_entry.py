@@ -27,3 +27,10 @@ def test_query_equals_its_sql(spark, duck, name):
     cols, rows = compare.spark_rows(catalog.queries()[name](spark, FOLDER))
     other_cols, other = compare.duck_rows(duck, catalog.oracle_sql()[name])
     assert cols == other_cols and rows == other
+
+
+@pytest.mark.parametrize("name", sorted(n for n in catalog.oracle_sql() if n.startswith(("sort_", "topk_"))))
+def test_order_equals_that_of_its_sql(spark, duck, name):
+    df, cur = catalog.queries()[name](spark, FOLDER), duck.execute(catalog.oracle_sql()[name])
+    names = [d[0] for d in cur.description]
+    assert [tuple(compare.plain(r[n]) for n in names) for r in df.collect()] == [tuple(map(compare.plain, r)) for r in cur.fetchall()]

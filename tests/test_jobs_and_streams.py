@@ -70,6 +70,45 @@ def test_arrivals_are_added_once(spark, tmp_path):
     assert set(got) == {1, 2, 3} and all(r["state"] == "EXTRACTING" and r["attempts"] == 1 for r in got.values())
 
 
+def test_a_batch_that_comes_twice_changes_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    batch = ingest.enqueue_batch(store, "s", "w", lambda: NOW)
+    waiting = table(spark, *[row(k) for k in range(1, 16)])
+    batch(waiting, 0)
+    once = {k: r["attempts"] for k, r in by_id(store.read("jobs")).items()}
+    assert sorted(once.values()) == [0] * 5 + [1] * 10
+    batch(waiting, 0)
+    assert {k: r["attempts"] for k, r in by_id(store.read("jobs")).items()} == once and store.version("jobs") == 1
+    batch(table(spark, row(1), row(20)), 1)
+    assert sum(r["attempts"] for r in by_id(store.read("jobs")).values()) == 16 and store.mark("s") == 1
+    assert store.read("jobs", 2).count() == 6  # the new job and the leases, not the whole table
+
+
+def test_a_crash_between_the_steps_leaves_the_state_before(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    store.commit({"t": df, "u": df}, marks={"m": 4})
+    df.limit(1).write.parquet(str(tmp_path / "store/t/v000002"))  # data without a manifest
+    assert store.read("t").count() == 2
+    (tmp_path / "store/_commits/00000002").write_bytes(b"\x00\x40{")  # a manifest that is cut short
+    assert store.read("t").count() == 2 and store.version("t") == 1 and store.mark("m") == 4
+    assert store.commit({"t": df.limit(1)}) == {"t": 3}
+    assert store.read("t").count() == 1 and store.read("u").count() == 2
+
+
+def test_changes_on_top_of_a_snapshot(spark, tmp_path, monkeypatch):
+    from scriptorium.sources import store as S
+
+    monkeypatch.setattr(S, "MOST_CHANGES", 2)
+    store = Store(spark, str(tmp_path / "store"))
+    store.commit({"t": spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")})
+    for n, v in enumerate("cde"):
+        store.append("t", spark.createDataFrame([(2, v), (10 + n, v)], "k long, v string"), "k")
+        assert {r["k"]: r["v"] for r in store.read("t").collect()}[2] == v
+    assert {r["k"]: r["v"] for r in store.read("t").collect()} == {1: "a", 2: "e", 10: "c", 11: "d", 12: "e"}
+    assert store.version("t") == 5
+
+
 def test_windows_with_watermark(spark, tmp_path):
     rows = [(NOW, "a"), (NOW + timedelta(hours=1), "a"), (NOW + timedelta(days=5), "b")]
     spark.createDataFrame(rows, "t timestamp, k string").coalesce(1).write.parquet(str(tmp_path / "e"))

@@ -103,8 +103,43 @@ def test_files(spark, tmp_path):
     assert [(r["chapter"], r["verse"], r["text"]) for r in verses] == [(1, 1, "In the beginning"), (2, 3, "Second"), (2, 4, "")]
 
 
-def test_settings_file():
-    assert files.parse_env("# c\n\nexport A='x y'\nB=1=2\nC=\"q\nSECRET=z\n", frozenset({"SECRET"})) == {"A": "x y", "B": "1=2", "C": '"q'}
+def test_settings_file(spark):
+    lines = spark.createDataFrame([(x,) for x in ["# c", "", "export A='x y'", "B=1=2", 'C="q', "SECRET=z", "no pair", " D = 'a\" ", None]], "value string")
+    assert {r["key"]: r["value"] for r in files.settings(lines, "value", ("SECRET",)).collect()} == {"A": "x y", "B": "1=2", "C": '"q', "D": "'a\""}
+
+
+def test_staged_files(spark):
+    from scriptorium.session import scratch
+
+    folder = scratch(spark)
+    texts = spark.createDataFrame([("1.docx", "one\ttwo\nthree"), ("2.docx", " "), ("3.docx", None)], "name string, text string")
+    assert files.stage(texts, folder, "name", "text", files.docx_bytes).count() == 2
+    got = {r["path"][-6:]: (r["text"], r["error"]) for r in files.read_docx(spark, folder).collect()}
+    assert got == {"1.docx": ("one\ttwo\nthree", None), "2.docx": (None, "docx without text")}
+    sizes = {r["name"]: r["content"] is None for r in files.read_bytes(spark, folder, texts, "name").collect()}
+    assert sizes == {"1.docx": False, "2.docx": False, "3.docx": True}
+
+
+def test_ids_of_new_rows_follow_the_order(spark):
+    from scriptorium.operators import tables
+
+    new = spark.createDataFrame([(f"n{k:03d}",) for k in range(200)], "title string").repartition(7)
+    old = spark.createDataFrame([(41,), (7,)], "id long")
+    got = [r["title"] for r in tables.next_ids(new, old, "id", ["title"]).orderBy("id").collect()]
+    assert got == [f"n{k:03d}" for k in range(200)] and tables.next_ids(new, old.limit(0), "id", ["title"]).agg({"id": "min"}).first()[0] == 1
+    assert tables.next_ids(new.limit(0), old, "id", ["title"]).count() == 0
+
+
+def test_text_layers_and_second_readings(spark):
+    from scriptorium.operators import extraction as X
+
+    pages = spark.createDataFrame([(1, 1, " a "), (1, 2, None), (1, 3, "b"), (2, 1, " "), (3, 1, "x" * 250)], "doc_id long, page_no long, text string")
+    got = {r["doc_id"]: (r["text"], r["confidence"], r["error"]) for r in X.text_layer(pages).collect()}
+    assert got == {1: ("a\n\nb", 0.3, None), 2: (None, None, "no text layer"), 3: ("x" * 250, 1.0, None)}
+    spans = spark.createDataFrame([(1, 1, 0, "old", 0.5), (2, 1, 1, "keep", 0.5), (3, 2, 0, "none", None)], "span_id long, doc_id long, idx long, text string, confidence double")
+    merged = X.merge_readings(spans, spark.createDataFrame([(1, "new"), (2, " ")], "span_id long, reading string"), ["span_id"])
+    assert {r["span_id"]: (r["text"], r["confidence"]) for r in merged.collect()} == {1: ("new", None), 2: ("keep", 0.0), 3: ("none", 0.0)}
+    assert {r["doc_id"]: (r["text"], r["error"]) for r in X.second_reading(merged, F.lit("scan")).collect()} == {1: ("new\nkeep", None), 2: (None, "no line was read")}
 
 
 def test_time_is_given_not_taken(spark):
