@@ -4,7 +4,9 @@ For every pair of a right and a wrong encoding the garbled form of every charact
 beforehand, once and twice over, also as numeric character references. One multi-pattern automaton holds them all; only
 matched spans are replaced, so correct text around them stays as it is. Where right and wrong encoding both have one byte
 per character, a garbled word is known by letters that no script mixes (bigrams in the same automaton), and is turned back
-as a word.
+as a word. Encodings of two bytes a character are tried on whole runs, in both directions: their text read as a Western one,
+which must come back with the most frequent characters of its language, and UTF-8 read as one of them, which must come back
+as valid UTF-8. A run that is garbled but can't be told is left as it is and counted as lost.
 """
 
 from __future__ import annotations
@@ -28,7 +30,23 @@ REPERTOIRE = ((0xA0, 0x180), (0x218, 0x21C), (0x386, 0x3CF), (0x400, 0x460), (0x
 WIDE = ((0x3000, 0x3100), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0xFF00, 0xFF5F))
 WIDE_WRONG = ("latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1251")
 #: One-byte encodings of scripts that are read as a Latin one, and as each other.
-ONE_BYTE = ("cp1251", "cp1253", "koi8-r", "cp866", "iso8859-5", "iso8859-7")
+ONE_BYTE = ("cp1251", "cp1253", "koi8-r", "cp866", "iso8859-5", "iso8859-7", "cp1255", "cp1256")
+#: Encodings of two bytes a character that are read as a Western one, and that UTF-8 is read as.
+TWO_BYTE = ("gbk", "big5", "cp932", "euc_jp", "cp949")
+#: Characters of a run of two-byte text, and shares of frequent ones by which its encoding is told.
+LEAST_RUN = 4
+TOLD_SHARE = {"gbk": 0.12, "big5": 0.12, "cp932": 0.3, "euc_jp": 0.3, "cp949": 0.2}
+
+#: Most frequent characters, by language, as published for general text.
+FREQUENT = {
+    "gbk": set("的一是不了在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年过发后作里如他她，。、“”：；！？"),
+    "big5": set("的一是不了在人有我他這個們中來上大為和國地到以說時要就出會可也你對生能而子那得於著下自之年過發後作裡如她，。、「」：；！？"),
+    "cp932": set("あいうえおかがきくけこさしすせそただちってでとどなにのはばまみめもやよらりるれろわをんアイウカクコシスタットドナニラリルレロンー、。「」"),
+    "euc_jp": set("あいうえおかがきくけこさしすせそただちってでとどなにのはばまみめもやよらりるれろわをんアイウカクコシスタットドナニラリルレロンー、。「」"),
+    "cp949": set("이다는을의에가고하지로기한사은도리자를나어시들대서인그아라것있해수정제와게만부일여주보과니스장적"),
+}
+#: Most frequent letters of the scripts of one-byte encodings.
+FREQUENT_LETTERS = set("оеаинтсрαοιετσνηילוהמאתראليمنتورבة")
 
 #: Russian letters by frequency in per cent, as published for general text.
 RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (10.97, 8.45, 8.01, 7.35, 6.70, 6.26, 5.47, 4.73, 4.54, 4.40, 3.49, 3.21, 2.98, 2.81, 2.62, 2.01, 1.90, 1.74, 1.70, 1.65, 1.59, 1.44, 1.21, 0.97, 0.94, 0.73, 0.64, 0.48, 0.36, 0.32, 0.26, 0.04, 0.04), strict=True))
@@ -37,6 +55,10 @@ VOWELS = set("аеёиоуыэюяіїєαεηιουωάέήίόύώϊϋΐΰ")
 
 _HIGH_WORD = re.compile(r"[À-ÿŒœŠšŽžŸ]+")
 _CYRILLIC_WORD = re.compile(r"[А-яЁё]+")
+_WESTERN_HIGH = "\\x80-\\xff\u20ac\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u017d\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u017e\u0178"
+#: Pairs of a high byte and any that can follow one, as Western characters; with single kana and signs between them.
+_TWO_BYTE_RUN = re.compile(rf"(?:[{_WESTERN_HIGH}][{_WESTERN_HIGH}@-~]?)+")
+_EASTERN_RUN = re.compile("[\u0370-\u03ff\u0400-\u04ff\u2010-\u2027\u2460-\u26ff\u3000-\u9fff\uac00-\ud7a3\uf900-\ufaff\uff01-\uffee\ue000-\uf8ff\u20ac]+")
 #: Small letters of Western languages, and what they become as DOS or Mac text that a Latin word can't hold after its first letter.
 _ACCENTED = set("àáâãäåçèéêëìíîïñòóôõöøùúûüý")
 _WESTERN_ODD = frozenset(x for c in _ACCENTED for e in ("cp850", "cp437", "mac_roman") if not (x := c.encode("cp1252").decode(e)).islower() or "Ͱ" <= x <= "Ͽ") - set("-'’.,;:·–—‘“”„‚\xa0˚˙¸¨ˇ˜¯§¶†‡°´²³¹¾")
@@ -157,7 +179,11 @@ def automaton():
 
 
 def _plausible(word: str) -> bool:
-    """Whether a word of a one-byte script looks like one: case, vowels, no long clusters."""
+    """Whether a word of a one-byte script looks like one: case, vowels, no long clusters; final forms at the end."""
+    if all("\u05d0" <= c <= "\u05ea" for c in word):
+        return not any(c in "ךםןףץ" for c in word[:-1]) and not word[-1:] in "כמנצ"
+    if all("\u0621" <= c <= "\u064a" for c in word):
+        return not any(c in "ةى" for c in word[:-1])
     low = word.lower()
     if not word.isalpha() or not (word == low or word[1:] == low[1:] or word.isupper() and len(word) < 3):
         return False
@@ -171,6 +197,89 @@ def _plausible(word: str) -> bool:
     return 0.2 <= sum(vowels) / len(low) <= 0.8 and most <= 4
 
 
+def _as_bytes(run: str) -> bytes | None:
+    """A run of Western characters as the bytes it was read from; cp1252 first, then Latin-1 for what that lacks."""
+    out = bytearray()
+    for c in run:
+        try:
+            out += c.encode("cp1252")
+        except UnicodeEncodeError:
+            if ord(c) > 0xFF:
+                return None
+            out.append(ord(c))
+    return bytes(out)
+
+
+def _utf8_share(data: bytes) -> float:
+    """How much of the high bytes is valid UTF-8."""
+    high = sum(b >= 0x80 for b in data)
+    return sum(len(c.encode()) for c in data.decode("utf-8", "ignore") if c > "\x7f") / max(1, high)
+
+
+def _two_byte_spans(text: str) -> list[tuple[int, int, str, bool]]:
+    """Runs of two-byte text read as cp1252 or Latin-1. One encoding is taken for all runs of a text."""
+    runs, score = [], {}
+    for m in _TWO_BYTE_RUN.finditer(text):
+        a, b = m.span()
+        if b - a < LEAST_RUN or not (text[a - 1 : a] + text[b : b + 1]).isascii():
+            continue
+        data = _as_bytes(m[0])
+        if data is None or sum(x >= 0x80 for x in data) < LEAST_RUN or _utf8_share(data) > 0.5:
+            continue
+        fits = {}
+        for enc in TWO_BYTE:
+            for cut in (0, 1):  # the last letter may belong to what follows
+                try:
+                    back = data[: len(data) - cut].decode(enc)
+                except UnicodeDecodeError:
+                    continue
+                fits[enc] = (back, b - cut)
+                wide = [c for c in back if c > "\x7f"]
+                hits, all_ = score.get(enc, (0, 0))
+                score[enc] = hits + sum(c in FREQUENT[enc] for c in wide), all_ + len(wide)
+                break
+        if fits:
+            runs.append((a, b, fits))
+    if not runs:
+        return []
+    best = max(score, key=lambda e: (score[e][0] / max(1, score[e][1]) * (1 if score[e][1] * 2 >= max(n for _, n in score.values()) else 0.5), -TWO_BYTE.index(e)))
+    hits, n = score[best]
+    if hits >= 2 and n >= LEAST_RUN and hits / n >= TOLD_SHARE[best]:
+        return [(a, fits[best][1], fits[best][0], True) if best in fits else (a, b, text[a:b], False) for a, b, fits in runs]
+    return []
+
+
+def _eastern_spans(text: str) -> list[tuple[int, int, str, bool]]:
+    """Runs of UTF-8 text read as a two-byte encoding: turned back they are valid UTF-8, but for bytes lost at their ends."""
+    out = []
+    for m in _EASTERN_RUN.finditer(text):
+        a, b = m.span()
+        if sum(c >= "\u2e80" for c in m[0]) * 2 < b - a:
+            continue
+        for enc in TWO_BYTE:
+            try:
+                data = m[0].encode(enc)
+            except UnicodeEncodeError:
+                continue
+            if len(data) < 6 and not (_latin(text[a - 1 : a]) or _latin(text[b : b + 1])):
+                continue
+            for head, tail in ((0, 0), (0, 1), (1, 0), (0, 2), (1, 1)):
+                try:
+                    back = data[head : len(data) - tail].decode("utf-8")
+                except UnicodeDecodeError:
+                    continue
+                if len(data) < 6:  # one or two letters inside a Latin word
+                    if head + tail == 0 and all("À" <= c <= "ɏ" for c in back):
+                        out.append((a, b, back, True))
+                elif sum(c > "\x7f" for c in back) >= 2 and all(unicodedata.category(c)[0] in "LMNPSZ" for c in back):
+                    out.append((a, b, back, head + tail == 0))
+                break
+            else:
+                continue
+            break
+    return out
+
+
 def _turn_back(word: str, wrong: str, right: str) -> str | None:
     try:
         return word.encode(wrong).decode(right)
@@ -189,8 +298,8 @@ def _one_byte_words(text: str) -> list[tuple[int, int, str]]:
             w = m[0]
             fits = {right: back for right in ONE_BYTE if (back := _turn_back(w, "cp1252", right) or _turn_back(w, "latin-1", right)) and _plausible(back)}
             if len(w) >= 3 and fits:
-                for right in fits:
-                    votes[right] = votes.get(right, 0) + len(w)
+                for right, back in fits.items():
+                    votes[right] = votes.get(right, 0) + sum(c in FREQUENT_LETTERS for c in back.lower())
                 out.append((a, b, w, fits))
             elif len(w) < 3:
                 short.append((a, b, w))
@@ -257,6 +366,13 @@ def garbled_spans(text: str | None) -> list[tuple[int, int, str, bool]]:
     if not text or text.isascii() and "&#" not in text:
         return []
     found, words, votes = [], set(), {}
+    wide = _two_byte_spans(text) + _eastern_spans(text)
+    if wide:  # the bytes of two-byte text form characters of other encodings by chance
+        whole, parts, at = text, [], 0
+        for a, b, *_ in sorted(wide):
+            parts += [text[at:a], " " * (b - a)]
+            at = max(at, b)
+        text = "".join(parts) + whole[at:]
     for end, (n, pairs) in automaton().iter_long(text):
         a, b = end - n + 1, end + 1
         if pairs is None:  # a word that mixes scripts
@@ -279,7 +395,7 @@ def garbled_spans(text: str | None) -> list[tuple[int, int, str, bool]]:
             runs[-1].append(f)
         else:
             runs.append([f])
-    out: list[tuple[int, int, str, bool]] = []
+    out: list[tuple[int, int, str, bool]] = list(wide)
     doubtful, sure = [], {}
     for run in runs:
         weights = [max(w for _, _, w in pairs) for _, _, pairs in run]

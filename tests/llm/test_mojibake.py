@@ -70,3 +70,41 @@ def test_windows_cyrillic_read_as_koi8():
 @pytest.mark.parametrize("text", ["verse² and page³", "große Straße", "Þórr and Óðinn", "10 kΩ, 5±2", "naïve façade", "IRMÃO d’Été", "πίστις"])
 def test_correct_western_words_stay(text):
     assert M.restore(text) == (text, 0, 0)
+
+
+TWO = {"gbk": "耶和华是我的牧者，我必不至缺乏。他使我躺卧在青草地上。", "big5": "耶和華是我的牧者，我必不至缺乏。他使我躺臥在青草地上", "cp932": "主は羊飼い、私は乏しいことがない。カタカナ", "euc_jp": "主は羊飼い、私は乏しいことがない。カタカナ", "cp949": "여호와는 나의 목자시니 내게 부족함이 없으리로다"}
+
+
+@pytest.mark.parametrize("wrong", ["cp1252", "latin-1"])
+@pytest.mark.parametrize("right", TWO)
+def test_two_byte_text_read_as_western(right, wrong):
+    mixed = "Plain ü first. " + M.read_as(TWO[right].encode(right), wrong) + " end."
+    assert M.restore(mixed)[::2] == ("Plain ü first. " + TWO[right] + " end.", 0)
+
+
+@pytest.mark.parametrize("wrong", ["cp1252", "latin-1"])
+@pytest.mark.parametrize("right, text", [("cp1255", "יהוה רועי לא אחסר בנאות דשא"), ("cp1256", "الرب راعي فلا يعوزني شيء في مراع خضر")])
+def test_right_to_left_text_read_as_western(right, text, wrong):
+    assert M.restore(M.read_as(text.encode(right), wrong))[::2] == (text, 0)
+
+
+@pytest.mark.parametrize("wrong", ["gbk", "cp932", "cp949", "big5", "euc_jp"])
+def test_utf8_read_as_two_byte_text(wrong):
+    """What has a form comes back; what the wrong encoding dropped is counted as lost."""
+    for text in ("耶和华是我的牧者", "主は羊飼い", "Großer Töpfer"):
+        garbled = text.encode().decode(wrong, "replace")
+        fixed, places, lost = M.restore(garbled)
+        assert places > 0 or wrong in ("cp932", "big5", "euc_jp")
+        assert lost > 0 or fixed == text or "\ufffd" not in garbled
+    assert M.restore("Gro脽er")[0] == "Großer" and M.restore("鑰跺拰")[0] == "耶和"
+
+
+def test_runs_that_cannot_be_told_stay():
+    one = M.read_as("的一是不了在人有".encode("gbk"), "cp1252")
+    fixed, places, lost = M.restore(one + " and " + "ÿÿþþÿþÿþ")
+    assert fixed.startswith("的一是不了在人有") and fixed.endswith("ÿÿþþÿþÿþ") and places >= 1
+
+
+@pytest.mark.parametrize("text", [*TWO.values(), "יהוה רועי לא אחסר", "الرب راعي", "“«œuvre»” – ÇÀ ET LÀ…", "第3章：約翰福音", "日本語Latin混ぜ", "Ελληνικά καὶ Русский текст"])
+def test_correct_wide_text_stays(text):
+    assert M.restore(text) == (text, 0, 0)
