@@ -129,3 +129,9 @@ def normalize_reference(c: Column) -> Column:
     for pattern, digit in ORDINALS:
         t = F.regexp_replace(t, pattern, digit)
     return F.regexp_replace(F.regexp_replace(t, "[.’']", ""), r"(?U)\s+", "")
+
+
+def alias(typed: Column) -> Column:
+    """The code of the book that a typed alias stands for, null for anything else."""
+    pairs = F.create_map(*[F.lit(x) for kv in sorted(ALIASES.items()) for x in kv])
+    return pairs[normalize_reference(typed)]

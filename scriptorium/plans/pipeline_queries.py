@@ -14,9 +14,11 @@ from scriptorium.operators import jobs as J
 from scriptorium.operators import references as R
 from scriptorium.operators import tables as M
 from scriptorium.plans.study import ACTIVE
-from scriptorium.plans.study_queries import _AS_OF, _RE, _STAMP, _TURNS, _as_of, _turns, c, query, stamp
+from scriptorium.plans.study_queries import _AS_OF, _RE, _RECLAIMED, _STAMP, _TURNS, _as_of, _claimed, _turns, c, query
 from scriptorium.session import scratch
 from scriptorium.sources import files
+from scriptorium.sources.store import Store
+from scriptorium.streaming import ingest
 
 #: White space as texts are stripped by, for SQL.
 _SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b\x1c-\x1f]+"
@@ -266,3 +268,30 @@ def dt_now(s):
     """The time is given, never taken from the clock: rows that are touched get it as text to the second."""
     now = F.date_format(F.lit(_as_of(s)), "yyyy-MM-dd HH:mm:ss")
     return s.jobs.select("job_id", F.when(c("claimed_at").isNull(), now).otherwise(F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss")).alias("updated_at"))
+
+
+# ------------------------------------------------------------------ streams
+
+
+def _arriving(s, name: str):
+    """A table as a stream of its files; the schema is that of the table, nothing is inferred while it runs."""
+    return ingest.arrivals(s.spark, f"{s.folder}/{name}*.parquet", s.table(name).schema)
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_daily_counts(s):
+    """Events as they arrive, counted per day and type; the counts so far are written after every batch."""
+    folder = scratch(s.spark)
+    counts = ingest.counts_by_window(_arriving(s, "events").withColumn("ts", c("ts").cast("timestamp")), "ts", "event_type")
+    write = lambda rows, _: rows.write.mode("overwrite").parquet(f"{folder}/counts")
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start().awaitTermination()
+    return s.spark.read.parquet(f"{folder}/counts").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query(_claimed(_RECLAIMED), "j")
+def stream_enqueue(s):
+    """Jobs as they arrive go into the queue of a store, each once, and the worker makes its round."""
+    folder, now = scratch(s.spark), _as_of(s)
+    store = Store(s.spark, f"{folder}/store")
+    ingest.enqueue(_arriving(s, "jobs"), store, f"{folder}/stream", "w", lambda: now).awaitTermination()
+    return store.read("jobs").select("job_id", "state", "claimed_by", "attempts")

@@ -200,7 +200,7 @@ def prj_testament_split(s):
 
 @query("SELECT j.job_id, x.job_id IS NOT NULL AS has_text, coalesce(x.verified, false) AS verified, coalesce(x.edited, false) AS edited FROM j LEFT JOIN (SELECT job_id, max(verified) AS verified, max(edited) AS edited FROM x GROUP BY job_id) x USING (job_id)", "j", "x")
 def prj_job_flags(s):
-    own = s.extractions.groupBy("job_id").agg(F.max("verified").alias("verified"), F.max("edited").alias("edited"), F.lit(True).alias("has"))
+    own = s.table("extractions").groupBy("job_id").agg(F.max("verified").alias("verified"), F.max("edited").alias("edited"), F.lit(True).alias("has"))
     return s.jobs.join(own, "job_id", "left").select("job_id", c("has").isNotNull().alias("has_text"), F.coalesce("verified", F.lit(False)).alias("verified"), F.coalesce("edited", F.lit(False)).alias("edited"))
 
 
@@ -250,7 +250,7 @@ def prj_jump_anchor(s):
 
 @query("SELECT doc_id, bool_or(edited) AS changed, bool_and(regexp_full_match(text, '\\s*')) AS blank FROM sp GROUP BY doc_id", "sp")
 def prj_review_changed_empty(s):
-    return s.spans.groupBy("doc_id").agg(F.bool_or("edited").alias("changed"), F.bool_and(T.strip_space(c("text")) == "").alias("blank"))
+    return s.table("spans").groupBy("doc_id").agg(F.bool_or("edited").alias("changed"), F.bool_and(T.strip_space(c("text")) == "").alias("blank"))
 
 
 # ------------------------------------------------------------------ joins
@@ -274,7 +274,7 @@ def join_inner_books(s):
 
 @query("SELECT b.osis, max(v.chapter) AS max_chapter FROM books b JOIN v ON v.book_osis = b.osis GROUP BY b.osis", "books", "v")
 def agg_max_chapter(s):
-    return s.verses.groupBy(c("book_osis").alias("osis")).agg(F.max("chapter").alias("max_chapter"))
+    return s.table("verses").groupBy(c("book_osis").alias("osis")).agg(F.max("chapter").alias("max_chapter"))
 
 
 @query("SELECT n.note_id, a.id, a.anchor_type, t.abbrev FROM n JOIN a USING (note_id) LEFT JOIN t ON t.id = a.translation_id", "n", "a", "t")
@@ -448,7 +448,7 @@ def _reference_rows(s):
 
 
 def _counted_books(s):
-    return s.books.join(s.verses.groupBy(c("book_osis").alias("osis")).agg(F.max("chapter").alias("chapter_count")), "osis")
+    return s.books.join(s.table("verses").groupBy(c("book_osis").alias("osis")).agg(F.max("chapter").alias("chapter_count")), "osis")
 
 
 _TOP = "(SELECT max(chapter) FROM verses WHERE book_osis = (SELECT max(book_osis) FROM verses))"
@@ -474,17 +474,17 @@ def str_normalize_ref(s):
 
 @query("SELECT verse_id, book_osis || '.' || chapter || '.' || verse AS made FROM (SELECT DISTINCT verse_id, book_osis, chapter, verse FROM verses)")
 def str_verse_id(s):
-    return s.verses.select("verse_id", T.verse_id(c("book_osis"), c("chapter"), c("verse")).alias("made")).distinct()
+    return s.table("verses").select("verse_id", T.verse_id(c("book_osis"), c("chapter"), c("verse")).alias("made")).distinct()
 
 
 @query("SELECT DISTINCT verse_id, CASE WHEN instr(verse_id, '.') > 0 THEN substr(verse_id, 1, instr(verse_id, '.') - 1) ELSE '' END AS book FROM verses")
 def str_book_prefix(s):
-    return s.verses.select("verse_id", T.book_prefix(c("verse_id")).alias("book")).distinct()
+    return s.table("verses").select("verse_id", T.book_prefix(c("verse_id")).alias("book")).distinct()
 
 
 @query("SELECT DISTINCT verse_id, book_osis AS book, chapter, verse AS verse_no FROM verses")
 def str_split_verse_id(s):
-    return s.verses.select("verse_id", *T.split_verse_id(c("verse_id"))).distinct()
+    return s.table("verses").select("verse_id", *T.split_verse_id(c("verse_id"))).distinct()
 
 
 @query("SELECT note_id, CASE WHEN length(f) > 140 THEN left(f, 140) || '…' ELSE f END AS preview FROM (SELECT note_id, trim(regexp_replace(body, '[\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) AS f FROM n)", "n")
@@ -512,7 +512,7 @@ def str_parse_position(s):
 
 @query("SELECT DISTINCT v.verse_id, coalesce(b.name, v.book_osis) || ' ' || v.chapter || ':' || v.verse AS shown FROM verses v LEFT JOIN books b ON b.osis = v.book_osis", "books")
 def str_format_reference(s):
-    rows = s.verses.select("verse_id", "book_osis", "chapter", "verse").distinct().join(F.broadcast(s.books.select(c("osis").alias("book_osis"), "name")), "book_osis", "left")
+    rows = s.table("verses").select("verse_id", "book_osis", "chapter", "verse").distinct().join(F.broadcast(s.books.select(c("osis").alias("book_osis"), "name")), "book_osis", "left")
     return rows.select("verse_id", F.concat(F.coalesce("name", "book_osis"), F.lit(" "), "chapter", F.lit(":"), "verse").alias("shown"))
 
 
@@ -544,9 +544,12 @@ def str_anchor_key(s):
 _ALIAS_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in T.ALIASES.items())
 
 
-@query(f"SELECT * FROM (VALUES {_ALIAS_ROWS}) AS q(alias, osis)")
+@query(f"SELECT form || alias || CASE WHEN form = ' ' THEN '. ' ELSE '' END AS typed, CASE WHEN form <> 'x' THEN osis END AS osis FROM (VALUES {_ALIAS_ROWS}) AS q(alias, osis), (VALUES (''), (' '), ('x')) AS f(form)")
 def str_alias_map(s):
-    return s.spark.createDataFrame(list(T.ALIASES.items()), "alias string, osis string")
+    """Aliases as typed, with signs and blanks around them, to the codes of their books; what is no alias has none."""
+    a = s.spark.createDataFrame([(k,) for k in T.ALIASES], "alias string")
+    typed = a.select(F.explode(F.array("alias", F.concat(F.lit(" "), "alias", F.lit(". ")), F.concat(F.lit("x"), "alias"))).alias("typed"))
+    return typed.select("typed", T.alias(c("typed")).alias("osis"))
 
 
 # ------------------------------------------------------------------ aggregations
@@ -665,22 +668,22 @@ def agg_transcript_text(s):
 
 @query("SELECT doc_id, max(edited) AS edited FROM sp GROUP BY doc_id", "sp")
 def agg_any_edited(s):
-    return s.spans.groupBy("doc_id").agg(F.max("edited").alias("edited"))
+    return s.table("spans").groupBy("doc_id").agg(F.max("edited").alias("edited"))
 
 
 @query("SELECT doc_id, min(coalesce(confidence, 0.0)) AS confidence FROM sp GROUP BY doc_id", "sp")
 def agg_doc_confidence_ocr(s):
-    return s.spans.groupBy("doc_id").agg(X.scan_confidence().alias("confidence"))
+    return s.table("spans").groupBy("doc_id").agg(X.scan_confidence().alias("confidence"))
 
 
 @query("SELECT doc_id, min(CASE WHEN confidence IS NULL OR confidence = 0 THEN 1.0 ELSE confidence END) AS confidence FROM sp GROUP BY doc_id", "sp")
 def agg_doc_confidence_asr(s):
-    return s.spans.groupBy("doc_id").agg(X.speech_confidence().alias("confidence"))
+    return s.table("spans").groupBy("doc_id").agg(X.speech_confidence().alias("confidence"))
 
 
 @query("SELECT doc_id, coalesce(min(confidence), 1.0) AS confidence FROM sp GROUP BY doc_id", "sp")
 def agg_doc_confidence_cloud(s):
-    return s.spans.groupBy("doc_id").agg(X.known_confidence().alias("confidence"))
+    return s.table("spans").groupBy("doc_id").agg(X.known_confidence().alias("confidence"))
 
 
 @query("SELECT doc_id, speaker, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(idx), speaker) AS BIGINT) AS place FROM sp WHERE speaker IS NOT NULL AND speaker <> '' GROUP BY doc_id, speaker", "sp")
@@ -1033,4 +1036,4 @@ def arr_tokens(s):
 
 @query("SELECT DISTINCT book_osis || '.' || chapter AS position FROM verses")
 def str_format_position(s):
-    return s.verses.select(F.concat_ws(".", "book_osis", c("chapter").cast("string")).alias("position")).distinct()
+    return s.table("verses").select(F.concat_ws(".", "book_osis", c("chapter").cast("string")).alias("position")).distinct()

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from scriptorium.operators import jobs as J
 from scriptorium.operators import tables
 from scriptorium.sources.store import Store
 
 
-def arrivals(spark: SparkSession, folder: str, schema: str, per_batch: int = 100) -> DataFrame:
+def arrivals(spark: SparkSession, folder: str, schema: str | StructType, per_batch: int = 100) -> DataFrame:
     """New files of a folder as a stream of rows; the schema is given, nothing is inferred."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
