@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 import re
 import sys
 import unicodedata
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,14 +169,15 @@ def encode_column(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
     """`key` and `ids` (array<int>) of every row, without special tokens; one narrow pass, no shuffle.
 
     Null and empty texts give an empty list. Texts of any length, repeated rows and other columns are no matter: a row in
-    gives a row out. `vocabulary` is the path of a rank file, the same on every executor; strings of special tokens in a
-    text are ordinary text.
+    gives a row out. `vocabulary` is the path of a rank file on the driver, which is sent to executors that lack it; strings
+    of special tokens in a text are ordinary text.
     """
     path = vocabulary or default_vocabulary()
+    docs.sparkSession.sparkContext.addFile(path)
     rows = spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from scriptorium.llm import bitmap
 from scriptorium.operators.tables import salted_join
 from scriptorium.session import ready, shuffle_partitions, spread
 
@@ -151,26 +152,15 @@ def _item_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _filled(keys: np.ndarray) -> np.ndarray:
     """Bits of a few n-grams."""
     bits = np.zeros(1 << FEW_BITS, bool)
-    bits[(keys >> np.uint64(64 - FEW_BITS)).astype(np.int64)] = True
+    bits[bitmap.slots(keys, FEW_BITS)] = True
     return np.packbits(bits, bitorder="little")
 
 
-def _bitmap(items: DataFrame) -> np.ndarray:
-    """Bits of all n-grams of the items, made on the executors; its size doesn't depend on their number."""
-    slot = F.shiftrightunsigned("g", 64 - MANY_BITS) + 1
-    parts = items.select(F.explode("grams").alias("g")).select(slot.alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("m"))
-    out = np.zeros(1 << MANY_BITS >> 3, np.uint8)
-    for r in parts.toLocalIterator():
-        m = np.frombuffer(bytes(r["m"]), np.uint8)
-        out[(r["b"] - 1) * len(m) : r["b"] * len(m)] = m
-    return out
-
-
-def _neighbourhoods(docs: DataFrame, key: str, text: str, bitmap, bits: int, exact) -> DataFrame:
+def _neighbourhoods(docs: DataFrame, key: str, text: str, shared, bits: int, exact) -> DataFrame:
     """k, part, ids (words around matching n-grams), grams (the n-grams found there, each once)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filled, shift = bitmap.value, np.uint64(64 - bits)
+        filled = shared.value
         known = None if exact is None else exact.value
         for batch in batches:
             for at in range(0, len(batch), SLICE):
@@ -180,8 +170,7 @@ def _neighbourhoods(docs: DataFrame, key: str, text: str, bitmap, bits: int, exa
                         continue
                     ids = word_ids(passage_words(t))
                     keys = grams(ids)
-                    slot = (keys >> shift).astype(np.int64)
-                    places = np.flatnonzero(filled[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                    places = np.flatnonzero(bitmap.holds(filled, bitmap.slots(keys, bits)))
                     if known is not None and len(places):
                         found = np.minimum(np.searchsorted(known, keys[places]), len(known) - 1)
                         places = places[known[found] == keys[places]]
@@ -275,7 +264,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         out = _by_broadcast(near, held)
     else:
         known = known.checkpoint()
-        near = _neighbourhoods(docs, key, text, sc.broadcast(_bitmap(known)), MANY_BITS, None).checkpoint()
+        slots = known.select(F.explode("grams").alias("g")).select(F.shiftrightunsigned("g", 64 - MANY_BITS).alias("s"))
+        near = _neighbourhoods(docs, key, text, sc.broadcast(bitmap.build(slots, "s", MANY_BITS)), MANY_BITS, None).checkpoint()
         out = _by_join(near, known)
     out = out.groupBy(c("k").cast(docs.schema[key].dataType).alias(key), "item_id").agg(F.max("score").alias("score"), F.max("run").alias("run"))
     kind = F.when((c("score") >= COPY_SCORE) & (c("run") >= PASSAGE), "literal").when(c("score") >= COPY_SCORE, "edited").otherwise("chance")

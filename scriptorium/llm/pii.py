@@ -19,10 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.session import spread
+from scriptorium.llm import bitmap
+from scriptorium.operators.tables import salted_join
+from scriptorium.session import ready, spread
 
 LABELS = ("O", "email", "phone", "id_number", "address", "name")
 #: Rounds of message passing, and how much of the old message a new one keeps.
@@ -31,6 +34,10 @@ ROUNDS, DAMPING = 8, 0.2
 SLICE = 1_000
 #: Tokens around a candidate, and around a distant token that is similar to one, that belong to the field.
 AROUND, AROUND_SIMILAR = 4, 2
+#: Most words of a lexicon that is broadcast (some 100 MB in a worker); a larger one meets the words of the texts by a join.
+LEXICON_WORDS = 1_000_000
+#: Bits, as a power of two, of the bitmap by which words that may be names are chosen before that join: 32 MB.
+WORD_BITS = 28
 #: Letters of a word and digits of a number from which on similar ones share potentials.
 LEAST_LETTERS, LEAST_DIGITS = 4, 4
 
@@ -452,10 +459,10 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(sorted({p for v in batch["v"] for p in name_pairs(v)}), columns=["given", "family"])
 
 
-def lexicon_of(values: DataFrame, column: str, key: str | None = None) -> Names:
-    """Lexicon by the rules of fit_lexicon over all rows of a column that holds names; a key isn't needed.
+def lexicon_table(values: DataFrame, column: str) -> DataFrame:
+    """w, is_family: the lexicon by the rules of fit_lexicon, over all rows of a column that holds names.
 
-    Distinct pairs are made and counted on the executors; only the words of the lexicon leave them.
+    Distinct pairs are made and counted on the executors.
     """
     c = F.col
     named = values.where(c(column).isNotNull() & (F.trim(column) != "")).select(c(column).alias("v")).distinct()
@@ -468,31 +475,82 @@ def lexicon_of(values: DataFrame, column: str, key: str | None = None) -> Names:
     words = words.join(with_given, "w", "left").withColumn("is_family", ~c("is_given") & ((c("firsts") >= 2) | F.coalesce("meets_given", F.lit(False)))).checkpoint()
     with_family = pairs.join(words.where("is_family").select(c("w").alias("family")), "family", "left_semi").select(c("given").alias("w")).distinct().withColumn("meets_family", F.lit(True))
     kinds = words.join(with_family, "w", "left").withColumn("is_given", c("is_given") | ~c("is_family") & F.coalesce("meets_family", F.lit(False)))
-    found = kinds.where("is_given or is_family").select("w", "is_family").collect()
-    return Names(GIVEN | {r["w"] for r in found if not r["is_family"]}, {r["w"] for r in found if r["is_family"]})
+    return kinds.where("is_given or is_family").select("w", "is_family").checkpoint()
 
 
-def personal_fields(rows: DataFrame, names: Names) -> DataFrame:
-    """tbl, row_id, kinds (array), redacted of every field with personal data; rows: tbl, row_id, text.
+def _names(words: list) -> Names:
+    return Names(GIVEN | {w for w, family in words if not family}, {w for w, family in words if family})
+
+
+def lexicon_of(values: DataFrame, column: str) -> Names:
+    """The lexicon, collected: for columns whose names one machine can hold."""
+    return _names([tuple(r) for r in lexicon_table(values, column).collect()])
+
+
+_FOUND = "tbl string, row_id string, kinds array<string>, redacted string"
 
-    Null, empty and blank texts have none. Texts are taken whole; a narrow pass, then each (tbl, row_id) once, however
-    often it was delivered.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(names)
+
+def _found(part: pd.DataFrame, names: Names, model: Model) -> Iterator[tuple]:
+    texts = part["text"].tolist()
+    for tbl, row_id, text, spans in zip(part["tbl"], part["row_id"], texts, find_all(texts, names, model), strict=True):
+        if spans:
+            yield tbl, row_id, sorted({k for _, _, k in spans}), redact(text, spans)
+
+
+def _by_broadcast(src: DataFrame, names: Names) -> DataFrame:
+    shared = src.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model.load()
         for batch in batches:
-            out = []
-            for at in range(0, len(batch), SLICE):
-                part = batch.iloc[at : at + SLICE]
-                texts = part["text"].tolist()
-                for tbl, row_id, text, spans in zip(part["tbl"], part["row_id"], texts, find_all(texts, shared.value, model), strict=True):
-                    if spans:
-                        out.append((tbl, row_id, sorted({k for _, _, k in spans}), redact(text, spans)))
+            out = [x for at in range(0, len(batch), SLICE) for x in _found(batch.iloc[at : at + SLICE], shared.value, model)]
             if out:
                 yield pd.DataFrame(out, columns=["tbl", "row_id", "kinds", "redacted"])
 
+    return src.mapInPandas(run, _FOUND)
+
+
+def _slots(words: list[str]) -> np.ndarray:
+    hashes = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+    return bitmap.slots(hashes, WORD_BITS)
+
+
+def _by_join(src: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The same where the lexicon is too large to broadcast: each text gets those of its words that are names."""
+    c = F.col
+    places = lexicon.mapInPandas(lambda it: (pd.DataFrame({"s": _slots(b["w"].tolist())}) for b in it), "s long")
+    filled = src.sparkSession.sparkContext.broadcast(bitmap.build(places, "s", WORD_BITS))
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = [sorted({w.lower() for w in _WORDS.findall(t)}) if t else [] for t in b["text"]]
+            yield b.assign(words=[[w for w, x in zip(ws, bitmap.holds(filled.value, _slots(ws)), strict=True) if x] for ws in words])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Model.load()
+        for b in batches:
+            names = _names([(x["w"], x["is_family"]) for own in b["names"] if own is not None for x in own])
+            yield pd.DataFrame(list(_found(b, names, model)), columns=["tbl", "row_id", "kinds", "redacted"])
+
+    marked = src.mapInPandas(mark, "tbl string, row_id string, text string, words array<string>").checkpoint().withColumn("at", F.monotonically_increasing_id())
+    held = salted_join(marked.select("at", F.explode("words").alias("w")), lexicon, "w", ["at"])
+    names = held.groupBy("at").agg(F.collect_list(F.struct("w", "is_family")).alias("names"))  # words of one text
+    return marked.select("at", "tbl", "row_id", "text").join(names, "at", "left").mapInPandas(run, _FOUND)
+
+
+def personal_fields(rows: DataFrame, names: Names | DataFrame) -> DataFrame:
+    """tbl, row_id, kinds (array), redacted of every field with personal data; rows: tbl, row_id, text.
+
+    Null, empty and blank texts have none. Texts are taken whole; a narrow pass, then each (tbl, row_id) once, however
+    often it was delivered. A lexicon of more than LEXICON_WORDS words stays a table that is joined by word.
+    """
+    ready(rows.sparkSession)
     src = spread(rows.select("tbl", F.col("row_id").cast("string").alias("row_id"), "text"))  # as strings, large ids survive beside nulls
-    found = src.mapInPandas(run, "tbl string, row_id string, kinds array<string>, redacted string").dropDuplicates(["tbl", "row_id"])
+    if isinstance(names, Names):
+        found = _by_broadcast(src, names)
+    elif names.count() <= LEXICON_WORDS:
+        found = _by_broadcast(src, _names([tuple(r) for r in names.collect()]))
+    else:
+        found = _by_join(src, names)
+    found = found.dropDuplicates(["tbl", "row_id"])
     return found.select("tbl", F.col("row_id").cast(rows.schema["row_id"].dataType).alias("row_id"), "kinds", "redacted")

@@ -27,7 +27,7 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = notes.select(F.lit("notes").alias("tbl"), c("note_id").alias("row_id"), c("body").alias("text"))
     rows = rows.unionByName(documents.select(F.lit("documents").alias("tbl"), c("doc_id").alias("row_id"), c("speaker").alias("text")))
     rows = rows.unionByName(extractions.select(F.lit("extractions").alias("tbl"), c("extraction_id").alias("row_id"), "text"))
-    return pii.personal_fields(rows, pii.lexicon_of(documents, "speaker"))
+    return pii.personal_fields(rows, pii.lexicon_table(documents, "speaker"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

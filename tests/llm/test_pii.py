@@ -37,7 +37,7 @@ def test_redaction_and_table(spark):
 
 def test_lexicon(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(["Tilda Varnholt", "Jorvik, Tilda", "Marek Jorvik / Tilda Varnholt", "Cedar Chapel", "MAREK VARNHOLT", "Guest speaker", None, "", "Dr. Marek Jorvik, 12 Long Road"])], "id long, v string")
-    names = pii.lexicon_of(df, "v", "id")
+    names = pii.lexicon_of(df, "v")
     assert {"tilda", "marek"} <= names.given and names.family == {"varnholt", "jorvik"}
 
 
@@ -82,6 +82,17 @@ def test_lexicon_holds_the_names_of_all_rows(spark):
     letters = "translate(cast({} as string), '0123456789', 'abcdefghij')"
     df = spark.range(120_000).selectExpr("id", f"concat_ws(' ', if(id % 3 = 0, 'Anna', concat('T', {letters.format('id % 700')})), concat('q', {letters.format('id')})) AS v")
     df = df.unionByName(spark.createDataFrame([(-i, v) for i, v in enumerate(["Dr. Marek Jorvik", "Ivan Jorvik", "Jorvik, Li", "Solo Name", "Otto Name", "Maria Solo"], 1)], "id long, v string"))
-    names = pii.lexicon_of(df, "v", "id")
+    names = pii.lexicon_of(df, "v")
     given, family = pii.fit_lexicon([r["v"] for r in df.select("v").collect()])
     assert names.given == given and names.family == family and len(family) > 110_000
+
+
+def test_a_large_lexicon_is_joined_with_the_same_result(spark, monkeypatch):
+    values = spark.createDataFrame([(v,) for v in ["Tilda Varnholt", "Jorvik, Tilda", "Marek Jorvik", "Marek Varnholt", None]], "v string")
+    lexicon = pii.lexicon_table(values, "v")
+    texts = ["Spoke with TILDA varnholt.", "jorvik, marek", "x@post.example", "The river", None, "", "Marek came.", "Ring +44 7700 900123, asks M. Jorvik."]
+    rows = spark.createDataFrame([("notes", i, t) for i, t in enumerate(texts)] + [("notes", 0, texts[0]), ("notes", None, texts[1])], "tbl string, row_id long, text string")
+    few = sorted(map(str, pii.personal_fields(rows, lexicon).collect()))
+    monkeypatch.setattr(pii, "LEXICON_WORDS", 0)
+    assert sorted(map(str, pii.personal_fields(rows, lexicon).collect())) == few and len(few) == 5
+    assert pii.personal_fields(rows.limit(0), lexicon).count() == 0
