@@ -47,6 +47,8 @@ ITEM_CHARS = 6_000_000
 FEW_BITS, MANY_BITS = 24, 28
 #: Stands for a null key where keys are joined.
 NO_KEY = "\0"
+#: Pairs that are aligned side by side.
+PAIRS = 128
 #: Texts that are searched at once, word ids kept per worker (then the cache starts anew).
 SLICE, CACHE = 1_000, 400_000
 
@@ -125,18 +127,34 @@ def rarest(counts: np.ndarray) -> np.ndarray:
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Best local alignment score of two word sequences, and their longest run of equal words in a row."""
-    if not len(a) or not len(b):
-        return 0, 0
-    row, run, best, longest = np.zeros(len(b) + 1, np.int64), np.zeros(len(b) + 1, np.int64), 0, 0
-    steps = np.arange(len(b) + 1) * GAP
-    for x in a:
-        same = b == x
-        now = np.zeros(len(b) + 1, np.int64)
-        now[1:] = np.maximum(np.maximum(row[:-1] + np.where(same, MATCH, MISMATCH), row[1:] + GAP), 0)
-        now = np.maximum.accumulate(now - steps) + steps  # gaps along the row, for a constant gap cost
-        run = np.concatenate([[0], np.where(same, run[:-1] + 1, 0)])
-        row, best, longest = now, max(best, int(now.max())), max(longest, int(run.max()))
-    return best, longest
+    return align_all([(a, b)])[0]
+
+
+def align_all(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """Scores and longest runs of many pairs: pairs of like length are aligned side by side, row by row."""
+    out: list[tuple[int, int]] = [(0, 0)] * len(pairs)
+    order = sorted((i for i, (a, b) in enumerate(pairs) if len(a) and len(b)), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
+    for at in range(0, len(order), PAIRS):
+        chosen = order[at : at + PAIRS]
+        rows, cols = max(len(pairs[i][0]) for i in chosen), max(len(pairs[i][1]) for i in chosen)
+        left, right = np.zeros((len(chosen), rows), np.int64), np.zeros((len(chosen), cols), np.int64)
+        for k, i in enumerate(chosen):
+            left[k, : len(pairs[i][0])], right[k, : len(pairs[i][1])] = pairs[i]
+        sizes = np.array([(len(pairs[i][0]), len(pairs[i][1])) for i in chosen])
+        inside = np.arange(cols) < sizes[:, 1:]
+        score, run = np.zeros((len(chosen), cols + 1), np.int32), np.zeros((len(chosen), cols + 1), np.int32)
+        best, longest = np.zeros(len(chosen), np.int32), np.zeros(len(chosen), np.int32)
+        steps = np.arange(cols + 1, dtype=np.int32) * GAP
+        for r in range(rows):
+            same = (right == left[:, r : r + 1]) & inside & (sizes[:, :1] > r)
+            now = np.zeros_like(score)
+            now[:, 1:] = np.maximum(np.maximum(score[:, :-1] + np.where(same, MATCH, MISMATCH), score[:, 1:] + GAP), 0)
+            score = np.maximum.accumulate(now - steps, axis=1) + steps  # gaps along the row, for a constant gap cost
+            run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+            best, longest = np.maximum(best, score.max(axis=1)), np.maximum(longest, run.max(axis=1))
+        for k, i in enumerate(chosen):
+            out[i] = int(best[k]), int(longest[k])
+    return out
 
 
 def _signed(x: np.ndarray) -> list[int]:
@@ -203,15 +221,16 @@ def _by_broadcast(near: DataFrame, items: list[Row]) -> DataFrame:
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of, own = shared.value
         for batch in batches:
-            out = []
+            met, pairs = [], []
             for k, ids, found in zip(batch["k"], batch["ids"], batch["grams"], strict=True):
                 shown: dict[int, int] = {}
                 for g in found.tolist():
                     for i, bits in of.get(g, {}).items():
                         shown[i] = shown.get(i, 0) | bits
                 for i in sorted(i for i, bits in shown.items() if bits & 1 or bits.bit_count() >= EVIDENCE):
-                    out.append((k, own[i][0], *smith_waterman(np.asarray(ids), own[i][1])))
-            yield pd.DataFrame(out, columns=["k", "item_id", "score", "run"])
+                    met.append((k, own[i][0]))
+                    pairs.append((np.asarray(ids), own[i][1]))
+            yield pd.DataFrame([(*m, *s) for m, s in zip(met, align_all(pairs), strict=True)], columns=["k", "item_id", "score", "run"])
 
     return near.mapInPandas(align, _SCORED)
 
@@ -237,7 +256,7 @@ def _by_join(near: DataFrame, items: DataFrame) -> DataFrame:
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            scores = [smith_waterman(np.asarray(x), np.asarray(y)) for x, y in zip(b["ids"], b["item_words"], strict=True)]
+            scores = align_all([(np.asarray(x), np.asarray(y)) for x, y in zip(b["ids"], b["item_words"], strict=True)])
             yield pd.DataFrame({"k": b["k"], "item_id": b["item_id"], "score": [s for s, _ in scores], "run": [r for _, r in scores]})
 
     return pairs.select("k", "item_id", "ids", "item_words").repartition(shuffle_partitions(near.sparkSession)).mapInPandas(align, _SCORED).withColumn("k", F.nullif("k", F.lit(NO_KEY)))

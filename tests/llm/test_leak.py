@@ -119,3 +119,20 @@ def test_smith_waterman():
     a, b = np.array([1, 2, 3, 9, 4, 5]), np.array([7, 1, 2, 3, 4, 5, 8])
     assert leak.smith_waterman(a, b) == (9, 3)
     assert leak.smith_waterman(a, np.zeros(0, int)) == (0, 0)
+
+
+def test_alignment_side_by_side_equals_a_plain_table():
+    r = random.Random(2)
+
+    def plain(a, b):
+        h, run, best, longest = {}, {}, 0, 0
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                same = a[i - 1] == b[j - 1]
+                h[i, j] = max(0, h.get((i - 1, j - 1), 0) + (leak.MATCH if same else leak.MISMATCH), h.get((i - 1, j), 0) + leak.GAP, h.get((i, j - 1), 0) + leak.GAP)
+                run[i, j] = run.get((i - 1, j - 1), 0) + 1 if same else 0
+                best, longest = max(best, h[i, j]), max(longest, run[i, j])
+        return best, longest
+
+    pairs = [([r.randint(0, 4) for _ in range(r.randint(0, 30))], [r.randint(0, 4) for _ in range(r.randint(0, 20))]) for _ in range(300)]
+    assert leak.align_all([(np.array(a, np.int64), np.array(b, np.int64)) for a, b in pairs]) == [plain(a, b) for a, b in pairs]
